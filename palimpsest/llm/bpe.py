@@ -88,7 +88,7 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
             wide = ids.astype("<u4")
             edges = before.tolist()
             in_ids, in_text = [], []
-            for a, b, x, y in zip(edges, edges[1:], at[before[:-1]].tolist(), at[before[1:]].tolist(), strict=True):
+            for a, b, x, y in zip(edges[:-1], edges[1:], at[before[:-1]].tolist(), at[before[1:]].tolist(), strict=True):
                 in_ids.append(hashlib.sha256(wide[a:b]).hexdigest())
                 in_text.append(hashlib.sha256(data[x:y].tobytes().decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(before)), pa.array(in_ids, pa.string()), pa.array(in_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
