@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, wavelet
+from palimpsest.llm import bpe, line_dedup, quality, wavelet
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -28,9 +28,23 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return line_dedup.LineIndex.build(documents, min_docs=3, min_length=20, reversible=False).digest(documents)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.DIGEST_SQL.format(documents="documents"),
+    "op8_quality_rules": quality.JUDGE_SQL.format(documents="documents", columns="doc_id"),
+}
