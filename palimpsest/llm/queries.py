@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, line_dedup, quality, wavelet
+from palimpsest.llm import bpe, line_dedup, minhash, quality, wavelet
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_table(spark, sf_dir, "documents"), words=2, percent=80).drop("tkey")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = wavelet.token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), end_id=2)
     return wavelet.digest_shards(manifest)
@@ -38,6 +42,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_groups": op3_minhash_groups,
     "op4_token_files": op4_token_files,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_dedup": op6_line_dedup,
