@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, line_dedup, minhash, quality, wavelet
+from palimpsest.llm import bpe, line_dedup, minhash, packing, quality, topk, toxicity, warc, wavelet
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=100)
+    return warc.read_archives(manifest).drop("url")
+
+
 def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_table(spark, sf_dir, "documents"), words=2, percent=80).drop("tkey")
 
@@ -37,19 +43,43 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.LineIndex.build(documents, min_docs=3, min_length=20, reversible=False).digest(documents)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False).drop("source")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), end_id=1, size=4096)
+
+
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    """The machine that the query and the pipeline use: learnt from the rows that are not held out."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.train(documents, labels, admit=~toxicity.held_out(F.col("doc_id")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_token_files": op4_token_files,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_line_dedup": op6_line_dedup,
+    "op7_top_k": op7_top_k,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.READ_SQL.format(pages="pages"),
     "op6_line_dedup": line_dedup.DIGEST_SQL.format(documents="documents"),
+    "op7_top_k": topk.SEARCH_SQL.format(embeddings="embeddings"),
     "op8_quality_rules": quality.JUDGE_SQL.format(documents="documents", columns="doc_id"),
 }
