@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, line_dedup, minhash, packing, quality, topk, toxicity, warc, wavelet
+from palimpsest.llm import bpe, line_dedup, minhash, packing, quality, token_counts, topk, toxicity, warc, wavelet
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -20,6 +20,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with five edits: at the start, a third, the middle, the end, and over the seam of the last two."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
+    third, half = F.floor(n / 3), F.floor(n / 2)
+
+    def edit(start, end, replacement):
+        return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(replacement).alias("replacement"))
+
+    zero, late = F.lit(0), n + 1000
+    edits = F.array(edit(zero, zero, "Draft: "), edit(third, third + 5, " it's <|endoftext|> 42"), edit(half, half + 40, ""), edit(late, late, "\n\n(revised)"), edit(n - 8, n + 8, "  seam "))
+    documents = _table(spark, sf_dir, "documents").withColumn("edits", edits)
+    return token_counts.edited_counts(documents, _path("byte_bpe_50k.json"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=100)
     return warc.read_archives(manifest).drop("url")
@@ -66,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_token_files": op4_token_files,
