@@ -8,17 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import plain_union
+
 #: The trained coefficients of two-route logistic fusion.
 LR_EMBEDDING, LR_KEYWORD, LR_INTERCEPT = 6.27473151675093, 0.09395183408310023, -4.858095765012703
 RRF_K = 60
 
 
 def _tagged(routes: list[DataFrame]) -> DataFrame:
-    out = None
-    for i, r in enumerate(routes):
-        part = r.filter((F.col("id").cast("string") != "") & F.col("id").isNotNull()).select("query_id", F.lit(i).alias("route"), "ord", "id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kept = [r.filter((F.col("id").cast("string") != "") & F.col("id").isNotNull()).select("query_id", F.lit(i).alias("route"), "ord", "id", "score") for i, r in enumerate(routes)]
+    return plain_union(*kept)
 
 
 def _ranked(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import fusion
+from palimpsest.session import plain_union
 
 
 def _place(*order) -> Column:
@@ -35,8 +36,8 @@ def hybrid(dense: DataFrame, sparse: DataFrame, method: str = "rrf", k: int = fu
     both = sides.filter(F.col("_d") & F.col("_s")).select("query_id")
     alone_d = dense.join(sides.filter(F.col("_s").isNull()), "query_id", "left_semi")
     alone_s = sparse.join(sides.filter(F.col("_d").isNull()), "query_id", "left_semi")
-    raw = alone_d.unionByName(alone_s).select("query_id", F.col("ord").alias("rank"), "id", "score")
-    out = fused.join(both, "query_id", "left_semi").unionByName(raw).filter(F.col("rank") <= top_n)
+    raw = plain_union(alone_d, alone_s).select("query_id", F.col("ord").alias("rank"), "id", "score")
+    out = plain_union(fused.join(both, "query_id", "left_semi"), raw).filter(F.col("rank") <= top_n)
     return out.filter(F.col("score") >= min_score) if min_score is not None else out
 
 
@@ -68,7 +69,7 @@ def ranked_cut(hits: DataFrame, expansion: DataFrame, member_rank: DataFrame, ca
     ranked = member_rank.groupBy("query_id", "id").agg(F.min("ord").alias("mo"))
     rest = rest.join(ranked, ["query_id", "id"], "left")
     rest = rest.filter((F.col("n") <= cap) | F.col("mo").isNotNull()).select("query_id", "id", F.when(F.col("n") <= cap, F.col("pos")).otherwise(F.col("mo")).alias("key"), F.lit(1).alias("tier"))
-    both = seeds.select("query_id", "id", F.col("key").cast("bigint").alias("key"), F.lit(0).alias("tier")).unionByName(rest.withColumn("key", F.col("key").cast("bigint")))
+    both = plain_union(seeds.select("query_id", "id", F.col("key").cast("bigint").alias("key"), F.lit(0).alias("tier")), rest.withColumn("key", F.col("key").cast("bigint")))
     return both.withColumn("rank", _place("tier", "key")).filter(F.col("rank") <= cap).select("query_id", "rank", "id")
 
 
@@ -114,7 +115,7 @@ def relevance_gate(ranked: DataFrame, reranked: bool, min_score: float = 0.4) ->
 def second_round(first: DataFrame, second: DataFrame, cap: int) -> DataFrame:
     """query_id, rank, id, round: the first round's rows, then the second's new ones, ``cap`` in all."""
     new = second.join(first.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    both = first.select("query_id", "id", F.lit(1).alias("round"), "ord").unionByName(new.select("query_id", "id", F.lit(2).alias("round"), "ord"))
+    both = plain_union(first.select("query_id", "id", F.lit(1).alias("round"), "ord"), new.select("query_id", "id", F.lit(2).alias("round"), "ord"))
     return both.withColumn("rank", _place("round", "ord")).filter(F.col("rank") <= cap).select("query_id", "rank", "id", "round")
 
 
