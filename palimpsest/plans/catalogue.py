@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import retrieval
+from palimpsest.plans import records, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **records.QUERIES}
 
-ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **records.ORACLE_SQL}
