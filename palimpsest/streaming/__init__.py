@@ -1,0 +1 @@
+"""The state functions over streams."""
