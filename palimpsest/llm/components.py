@@ -30,8 +30,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(linked.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """True if every node has one edge and none leads to a node that has an edge itself."""
+    roots = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(True))
+    open_ = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(roots, "u", "left").filter((F.col("n") > 1) | F.col("root"))
+    return not open_.limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,11 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns u and v; loops and repeats are ignored. No edges give no rows.
     """
     now = materialize(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _is_forest_of_stars(now):
         now = materialize(_small_star(_large_star(now)), "edges")
-        following = _state(now)
-        if following == state:
-            break
-        state = following
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

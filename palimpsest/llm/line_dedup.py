@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.cuckoo import CuckooFilter
 from palimpsest.llm.runtime import chunks, materialize, read_file, scratch_dir, write_file
+from palimpsest.session import plain_union
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Keys to a shard of the filter, on average.
@@ -118,8 +119,8 @@ class LineIndex:
     def add(self, df: DataFrame) -> LineIndex:
         """Insert documents: their keys' counts grow; keys that become repeated enter the filters."""
         new = materialize(postings_of(df, self.min_length), "postings")
-        postings = materialize(self.postings.unionByName(new), "postings")
-        counts = self.counts.unionByName(_counted(new)).groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        postings = materialize(plain_union(self.postings, new), "postings")
+        counts = plain_union(self.counts, _counted(new)).groupBy("high", "low").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
         return self._next(postings, materialize(counts, "line-counts"))
 
     def remove(self, ids: DataFrame) -> LineIndex:
@@ -128,7 +129,7 @@ class LineIndex:
         gone = materialize(self.postings.join(ids, "doc_id", "left_semi").select("high", "low").distinct(), "removed")
         postings = materialize(self.postings.join(ids, "doc_id", "left_anti").select("high", "low", "doc_id"), "postings")
         again = _counted(postings.join(gone, ["high", "low"], "left_semi"))
-        counts = self.counts.join(gone, ["high", "low"], "left_anti").unionByName(again)
+        counts = plain_union(self.counts.join(gone, ["high", "low"], "left_anti"), again)
         return self._next(postings, materialize(counts, "line-counts"))
 
     def _next(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
@@ -141,7 +142,7 @@ class LineIndex:
             return following._with_filters()
         before, after = self.repeated().select("high", "low"), following.repeated().select("high", "low")
         keys = ["high", "low"]
-        changed = before.join(after, keys, "left_anti").withColumn("come", F.lit(False)).unionByName(after.join(before, keys, "left_anti").withColumn("come", F.lit(True)))
+        changed = plain_union(before.join(after, keys, "left_anti").withColumn("come", F.lit(False)), after.join(before, keys, "left_anti").withColumn("come", F.lit(True)))
         filters = _update_filters(changed, after, self.filters, self.filters and scratch_dir(counts.sparkSession, "filters"))
         return replace(following, filters=filters)
 

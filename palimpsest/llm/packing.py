@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import encoder
 from palimpsest.llm.runtime import chunks, materialize, text_bytes
+from palimpsest.session import plain_union
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces to a part, on average.
@@ -148,10 +149,7 @@ def pack(items: DataFrame, size: int, rounds: int = 3) -> DataFrame:
         was = (_numbered(loose, columns, k), bins - shut)
         now = loose.select(*columns)
         parts = max(1, min(parts // 4, -(-loose.count() // PART_PIECES)))
-    out = full
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    return plain_union(full, *done)
 
 
 def _numbered(packed: DataFrame, columns: list[str], k: int) -> DataFrame:
