@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from palimpsest.functions.text import bigram_overlap, change_ratio, fold_text
 from palimpsest.functions.time import DAY_MS
 
+#: The pandas types of columns without rows.
+EMPTY = {"bigint": "int64", "int": "int32", "double": "float64", "boolean": "bool", "string": "object"}
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
 def fold_groups(df: DataFrame, key: str, order: list[str], step: Step, schema: str, finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
     """Run ``step`` over each key's rows in order; outputs are rows of ``schema``. A key is one task's work, by nature."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = dict(f.split() for f in schema.split(", "))
+    names = list(kinds)
 
     def run(frame):
         state, out = {}, []
@@ -30,6 +33,8 @@ def fold_groups(df: DataFrame, key: str, order: list[str], step: Step, schema: s
             out += rows
         if finish is not None:
             out += finish(state)
+        if not out:
+            return pd.DataFrame({n: pd.Series([], dtype=EMPTY[k]) for n, k in kinds.items()})
         return pd.DataFrame({n: [r[n] for r in out] for n in names}, columns=names)
 
     return df.groupBy(key).applyInPandas(lambda frame: run(frame), schema)
@@ -56,7 +61,7 @@ def boundary_step(state: dict, row: dict, messages: int = 50, tokens: int = 8192
             start, held, size = (pos - 1, 1, last) if bridge else (pos, 0, 0)
     if held == 0:
         start = pos
-    return {"n": held + 1, "start": start, "tokens": size + own, "last": own, "conv_id": row["conv_id"], "end": pos + 1}, out
+    return {"n": held + 1, "start": start, "tokens": size + own, "last": own, "conv_id": int(row["conv_id"]), "end": pos + 1}, out
 
 
 def boundary_finish(state: dict) -> list[dict]:
@@ -93,13 +98,13 @@ def cluster_step(state: dict, row: dict, threshold: float = 0.65, days: float =
         k = int(np.argmax(scores))
         best, score = near[k], float(scores[k])
     if best is None or score < threshold:
-        clusters.append({"centroid": v.tolist(), "count": 1, "last_ts": t, "members": [row["id"]]})
+        clusters.append({"centroid": v.tolist(), "count": 1, "last_ts": t, "members": [int(row["id"])]})
         best, score = len(clusters) - 1, None
     else:
         c = clusters[best]
         c["centroid"] = ((np.asarray(c["centroid"]) * c["count"] + v) / (c["count"] + 1)).tolist()
         c["count"], c["last_ts"] = c["count"] + 1, max(c["last_ts"], t)
-        c["members"].append(row["id"])
+        c["members"].append(int(row["id"]))
     return state, [{"key": row["key"], "id": row["id"], "cluster_id": f"cluster_{best}", "similarity": None if score is None else round(score, 6)}]
 
 

@@ -1,60 +1,81 @@
-"""The pure state functions of ``operators.state`` as stateful stream operators.
+"""The pure state functions of ``operators.state`` over streams.
 
-Each key's state is one JSON value. Within a micro-batch a key's rows are taken in order; late rows are not dropped by a
-watermark, since late evidence counts (the functions decide by its own time).
+Each micro-batch meets the states kept so far by key (a cogroup), runs the step over the key's new rows in order, and
+writes outputs and new states under the batch's number. A batch that is run again after a failure overwrites its own files
+and starts from the states of the batch before, so every row counts once. Late rows are not dropped by a watermark, since
+late evidence counts: the functions decide by its own time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.operators import state as s
 
 
-def fold_stream(df: DataFrame, key: str, order: list[str], step: s.Step, schema: str) -> DataFrame:
-    """``step`` over the rows of each key as they arrive; emits the outputs of each micro-batch."""
+def _states(spark: SparkSession, folder: str, batch: int, key: str, kind: str) -> DataFrame:
+    """The states before a batch: those of the newest earlier batch that was committed."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n in range(batch - 1, -1, -1):
+        if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/states/{n}/_SUCCESS")):
+            return spark.read.parquet(f"{folder}/states/{n}")
+    return spark.createDataFrame([], f"{key} {kind}, state string")
+
+
+def fold_stream(df: DataFrame, key: str, order: list[str], step: s.Step, schema: str, folder: str) -> None:
+    """Take in all that the stream has now, and stop; a later call continues. Read the outputs with ``outputs``."""
+    kind = df.schema[key].dataType.simpleString()
     names = [f.split()[0] for f in schema.split(", ")]
+    spark = df.sparkSession
 
-    def run(_, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(held.get[0]) if held.exists else {}
+    def run(rows, held):
+        now = json.loads(held["state"].iloc[0]) if len(held) else {}
         out: list[dict] = []
-        for row in pd.concat(list(frames)).sort_values(order, kind="stable").to_dict("records"):
-            now, rows = step(now, row)
-            out += rows
-        held.update((s.dumps(now),))
-        yield pd.DataFrame({n: [r[n] for r in out] for n in names}, columns=names)
+        for row in rows.sort_values(order, kind="stable").to_dict("records"):
+            now, more = step(now, row)
+            out += more
+        owner = (rows if len(rows) else held)[key].iloc[0]
+        plain = [{n: o[n].item() if hasattr(o[n], "item") else o[n] for n in names} for o in out]
+        return pd.DataFrame({key: [owner], "state": [s.dumps(now)], "out": [json.dumps(plain)]})
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    def take(batch: DataFrame, number: int) -> None:
+        states = _states(spark, folder, number, key, kind)
+        met = batch.groupBy(key).cogroup(states.groupBy(key)).applyInPandas(run, f"{key} {kind}, state string, out string")
+        met.write.mode("overwrite").parquet(f"{folder}/met/{number}")
+        met = spark.read.parquet(f"{folder}/met/{number}")
+        rows = met.select(F.explode(F.from_json("out", f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in schema.split(', '))}>>")).alias("o")).select("o.*")
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        met.select(key, "state").write.mode("overwrite").parquet(f"{folder}/states/{number}")
 
+    df.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
 
-def boundaries(df: DataFrame, **limits) -> DataFrame:
-    return fold_stream(df, "conv_id", ["pos"], lambda a, r: s.boundary_step(a, r, **limits), s.BOUNDARY_SCHEMA)
 
+def outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """All outputs so far, with the number of the batch that made them."""
+    return spark.read.parquet(f"{folder}/out")
 
-def clusters(df: DataFrame, threshold: float = 0.65, days: float = 7.0) -> DataFrame:
-    return fold_stream(df, "key", ["ts", "id"], lambda a, r: s.cluster_step(a, r, threshold, days), s.CLUSTER_SCHEMA)
 
+def boundaries(df: DataFrame, folder: str, **limits) -> None:
+    fold_stream(df, "conv_id", ["pos"], lambda a, r: s.boundary_step(a, r, **limits), s.BOUNDARY_SCHEMA, folder)
 
-def profiles(df: DataFrame) -> DataFrame:
-    return fold_stream(df, "owner_id", ["arrival"], s.profile_step, s.PROFILE_SCHEMA)
 
+def clusters(df: DataFrame, folder: str, threshold: float = 0.65, days: float = 7.0) -> None:
+    fold_stream(df, "key", ["ts", "id"], lambda a, r: s.cluster_step(a, r, threshold, days), s.CLUSTER_SCHEMA, folder)
 
-def pending(df: DataFrame) -> DataFrame:
-    return fold_stream(df, "owner_id", ["ts", "seq"], s.pending_step, s.PENDING_SCHEMA)
 
+def profiles(df: DataFrame, folder: str) -> None:
+    fold_stream(df, "owner_id", ["arrival"], s.profile_step, s.PROFILE_SCHEMA, folder)
 
-def skills(df: DataFrame) -> DataFrame:
-    return fold_stream(df, "key", ["seq"], s.skill_step, s.SKILL_SCHEMA)
 
+def pending(df: DataFrame, folder: str) -> None:
+    fold_stream(df, "owner_id", ["ts", "seq"], s.pending_step, s.PENDING_SCHEMA, folder)
 
-def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Write what is there now as Parquet and stop; a later call continues from the checkpoint."""
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
+def skills(df: DataFrame, folder: str) -> None:
+    fold_stream(df, "key", ["seq"], s.skill_step, s.SKILL_SCHEMA, folder)
 
-Runner = Callable[[DataFrame], DataFrame]

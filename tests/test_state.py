@@ -52,7 +52,7 @@ def test_profile_late_evidence():
 
 def test_pending_and_matters():
     day = 86_400_000
-    _, out = run(state.pending_step, [{"owner_id": "u", "ts": t * day, "text": x} for t, x in [(0, "goes running every monday"), (1, "runs"), (2, "goes running every monday!"), (200, "runs")]])
+    _, out = run(state.pending_step, [{"owner_id": "u", "ts": t * day, "text": x} for t, x in [(0, "goes running every monday"), (1, "sleeps late"), (2, "goes running every monday!"), (200, "sleeps late")]])
     assert [o["verdict"] for o in out] == ["held", "held", "confirmed", "held"] and out[-1]["n_held"] == 1
     _, out = run(state.matter_step, [{"owner_id": "u", "ts": t, "topic": "Health", "action": a} for t, a in [(5, "enter"), (5, "withdraw"), (7, "enter"), (8, "withdraw")]])
     assert [o["action"] for o in out] == ["entered", "ignored", "refreshed", "withdrawn"]
@@ -76,11 +76,11 @@ def test_stream_equals_batch(spark, tmp_path, name, stream):
     else:
         rows, batch = states.skill_input(spark, SF), state.skills
         first, rest = "seq < 500", "seq >= 500"
-    source, sink, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    source, folder = str(tmp_path / "in"), str(tmp_path / "run")
     for part in (first, rest):
         rows.filter(part).coalesce(1).write.mode("append").parquet(source)
-        stateful.run_to_end(stream(spark.readStream.schema(rows.schema).parquet(source)), sink, mark)
-    got = sorted(map(str, spark.read.parquet(sink).collect()))
+        stream(spark.readStream.schema(rows.schema).parquet(source), folder)
+    got = sorted(map(str, stateful.outputs(spark, folder).drop("batch").collect()))
     assert got == sorted(map(str, batch(rows).collect()))
 
 
