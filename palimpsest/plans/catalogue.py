@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import records, retrieval, states
+from palimpsest.plans import agent, records, retrieval, states
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **records.QUERIES, **states.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **records.QUERIES, **states.QUERIES, **agent.QUERIES}
 
-ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **records.ORACLE_SQL, **states.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **records.ORACLE_SQL, **states.ORACLE_SQL, **agent.ORACLE_SQL}
