@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.runtime import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
+#: Verdicts of so many hosts at most are broadcast (a name and a flag each).
+BROADCAST_HOSTS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -100,15 +102,17 @@ def host_verdicts(scored: DataFrame, host: str = "source", host_limit: float = 0
 def judge(df: DataFrame, text: str = "text", host: str = "source", host_limit: float = 0.5, keep_text: bool = True) -> DataFrame:
     """Add the counts, base_failed and kept (false if the document fails itself or its host is rejected).
 
-    The counts are made once and written; hosts are then few narrow rows. Verdicts come back by a join on the host which
-    is broadcast only if Spark measures the hosts as small, and else is a shuffle whose hot hosts adaptive execution
-    splits.
+    The counts are made once and written; hosts are then few narrow rows. Verdicts come back by a join on the host: they are
+    counted, and up to BROADCAST_HOSTS of them are broadcast, so that a hot host's documents stay where they are; beyond
+    that the join is a shuffle whose hot hosts adaptive execution splits.
     """
     drop = {*COUNTS, "base_failed", "kept", "rejected", "_host"}
     columns = [c for c in df.columns if c not in drop and (keep_text or c != text)]
     wanted = df.select(*dict.fromkeys([*columns, text, host]))
     scored = materialize(counts(wanted, text).select(*dict.fromkeys([*columns, host]), *COUNTS, "base_failed"), "quality")
-    verdicts = host_verdicts(scored, host, host_limit).select(F.col("host").alias("_host"), "rejected")
+    verdicts = materialize(host_verdicts(scored, host, host_limit).select(F.col("host").alias("_host"), "rejected"), "verdicts")
+    if verdicts.count() <= BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)
     joined = scored.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(verdicts, "_host")
     return joined.select(*columns, *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
 
