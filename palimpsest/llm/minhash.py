@@ -7,9 +7,10 @@ whole sequence; texts without words have none and link with nothing. Two sets li
     each minimum as signature, and a 128-bit fingerprint of its set. Equal sets are one class from here on.
  2. In each bucket all classes are paired with a few leaders, not with each other. Pairs that pass on set size and
     signature are confirmed on their full shingle sets, and the links' components are found.
- 3. Buckets that still hold several components may hide a link that no leader saw. While there are many such pairs more
-    leaders are tried; then all remaining pairs across components are tried, so that no link between classes in a
-    common bucket goes unnoticed. Pairs inside one component can't change it and are never made.
+ 3. Buckets that still hold several components may hide a link that no leader saw. Of their classes those leave whose
+    shingles occur too rarely in the others to allow any link. While many pairs across components are left more leaders are
+    tried; then all remaining pairs across components are, so that no link between classes in a common bucket goes
+    unnoticed. Pairs inside one component can't change it and are never made.
 
 With 32 bands of 4, sets of similarity 0.8 meet in no bucket once in twenty million; a signature of 128 agrees on too few
 bytes for such a pair once in a billion. Shingles are compared by 64-bit hashes.
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.components import components
 from palimpsest.llm.runtime import chunks, materialize, text_bytes
 from palimpsest.llm.textops import mix, shingle_hashes, word_hashes
+from palimpsest.session import plain_union
 
 #: The sets of a pair's first sides are broadcast up to so many shingles of 8 bytes; beyond that both sides are shuffled.
 BROADCAST_SHINGLES = 4_000_000
@@ -139,16 +141,31 @@ class _Confirm:
         #: Six standard deviations below what sets at the threshold agree on.
         self.least = int(hashes * share - 6 * (hashes * share * (1 - share)) ** 0.5)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(fp, shingles) of the classes in ``wanted`` (fp), written."""
+        return materialize(_sets(self.df, self.classes.select("doc_id", "tkey", "fp").join(wanted, "fp", "left_semi"), self.words), "sets")
+
+    def linkable(self, sets: DataFrame) -> DataFrame:
+        """fp of the classes that can link with another class in ``sets`` at all.
+
+        A set's similarity to any other is at most the share of its shingles that occur in some other set. Where that share
+        is under the threshold, the class needs no pairs: it is proven to have no link here.
+        """
+        held = sets.select("fp", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
+        common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("shingle")
+        seen = held.join(common, "shingle").groupBy("fp", "n").agg(F.count(F.lit(1)).alias("c"))
+        return seen.filter(100 * F.col("c") >= self.percent * F.col("n")).select("fp")
+
+    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Of pairs (a, b), those that link; ``sets`` holds their classes' sets if they were read before."""
         narrow = self.classes.select("fp", "n_shingles", "sig")
         one = narrow.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
         two = narrow.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
         close = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         close = close.withColumn("same", _agreement("sa", "sb")).filter(F.col("same") >= self.least)
         close = materialize(close.select("a", "b", "na", "nb"), "close")
-        needed = close.select(F.col("a").alias("fp")).union(close.select(F.col("b").alias("fp"))).distinct()
-        sets = materialize(_sets(self.df, self.classes.select("doc_id", "tkey", "fp").join(needed, "fp", "left_semi"), self.words), "sets")
+        if sets is None:
+            sets = self.sets(plain_union(close.select(F.col("a").alias("fp")), close.select(F.col("b").alias("fp"))).distinct())
         one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("xa"))
         two = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("xb"))
         hubs = close.select("a", "na").distinct()
@@ -168,13 +185,13 @@ def _leader_pairs(multi: DataFrame, leaders: int, seed: int) -> DataFrame:
 
 
 def _mixed(multi: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, fp, comp, big, cross): rows of buckets with several components, and the pairs across them in the bucket."""
-    placed = multi.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("comp"))
+    """(bucket, fp, comp, big, cross): rows of buckets with several components; cross adds up to the pairs across them."""
+    placed = multi.select("bucket", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("comp"))
     placed = materialize(placed, "placed")
     parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("nn"), F.max_by("comp", "c").alias("big"))
-    whole = whole.filter("k > 1").select("bucket", "big", ((F.col("n") * F.col("n") - F.col("nn")) / 2).cast("bigint").alias("cross"))
-    return placed.join(whole, "bucket")
+    whole = whole.filter("k > 1").select("bucket", "big", ((F.col("n") * F.col("n") - F.col("nn")) / 2 / F.col("n")).alias("cross"))
+    return materialize(placed.join(whole, "bucket"), "mixed")
 
 
 def _cross_pairs(mixed: DataFrame, least: int = 2) -> DataFrame:
@@ -194,7 +211,7 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.select("a", "b", *key).join(tested.select(*key), ["lo", "hi"], "left_anti").select("a", "b")
 
 
-def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leaders: int = 4, rounds: int = 4) -> DataFrame:
+def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leaders: int = 8, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, tkey (hash of the text) for every row of ``df``."""
     marked = materialize(signatures(df, words, bands, rows), "signatures")
     full = marked.filter("n_shingles > 0")
@@ -209,21 +226,22 @@ def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     tested = materialize(_leader_pairs(multi, leaders, 0), "pairs")
     links = materialize(confirm.links(tested), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    size = multi.count()
+    mixed = _mixed(multi, roots)
+    sets = confirm.sets(mixed.select("fp").distinct())
+    multi = mixed.select("bucket", "fp").join(confirm.linkable(sets), "fp", "left_semi")
     for k in range(1, rounds + 1):
-        mixed = materialize(_mixed(multi, roots), "mixed")
-        cross = mixed.select("bucket", "cross").distinct().agg(F.sum("cross")).first()[0] or 0
-        last = k == rounds or cross <= 20 * size
+        mixed = _mixed(multi, roots)
+        size, cross = mixed.agg(F.count(F.lit(1)), F.sum("cross")).first()
+        last = k == rounds or (cross or 0) <= 20 * size
         pairs = _cross_pairs(mixed) if last else _leader_pairs(mixed.select("bucket", "fp"), leaders, 100 * k)
         pairs = materialize(_untested(pairs, tested), "pairs")
-        more = materialize(confirm.links(pairs), "links")
-        found = more.limit(1).count() > 0
-        if found:
-            edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        more = materialize(confirm.links(pairs, sets), "links")
+        if more.limit(1).count():
+            edges = plain_union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")), more.select(F.col("a").alias("u"), F.col("b").alias("v")))
             roots = components(edges)
         if last:
             break
-        tested = tested.unionAll(pairs)
+        tested = plain_union(tested, pairs)
 
     # the smallest doc_id of each component, by class; then every row takes that of its class
     linked = classes.select("fp", "doc_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
