@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.runtime import materialize
+from palimpsest.llm.runtime import discard, materialize
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -44,5 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _is_forest_of_stars(now):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

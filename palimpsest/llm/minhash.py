@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.components import components
-from palimpsest.llm.runtime import chunks, materialize, text_bytes
+from palimpsest.llm.runtime import chunks, discard, materialize, text_bytes
 from palimpsest.llm.textops import mix, shingle_hashes, word_hashes
 from palimpsest.session import plain_union
 
@@ -157,14 +157,15 @@ class _Confirm:
         return seen.filter(100 * F.col("c") >= self.percent * F.col("n")).select("fp")
 
     def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        """Of pairs (a, b), those that link; ``sets`` holds their classes' sets if they were read before."""
+        """Of pairs (a, b), those that link, written; ``sets`` holds their classes' sets if they were read before."""
         narrow = self.classes.select("fp", "n_shingles", "sig")
         one = narrow.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
         two = narrow.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
         close = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         close = close.withColumn("same", _agreement("sa", "sb")).filter(F.col("same") >= self.least)
         close = materialize(close.select("a", "b", "na", "nb"), "close")
-        if sets is None:
+        own = sets is None
+        if own:
             sets = self.sets(plain_union(close.select(F.col("a").alias("fp")), close.select(F.col("b").alias("fp"))).distinct())
         one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("xa"))
         two = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("xb"))
@@ -173,7 +174,9 @@ class _Confirm:
             # few hubs: their sets go to every task, and the other side's sets are shuffled once each, not once a pair
             one = F.broadcast(one.join(F.broadcast(hubs.select("a")), "a", "left_semi"))
         both = close.join(two, "b").join(one, "a").withColumn("inter", F.size(F.array_intersect("xa", "xb")).cast("bigint"))
-        return both.filter(100 * F.col("inter") >= self.percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
+        out = materialize(both.filter(100 * F.col("inter") >= self.percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b"), "links")
+        discard(close, *([sets] if own else []))
+        return out
 
 
 def _leader_pairs(multi: DataFrame, leaders: int, seed: int) -> DataFrame:
@@ -191,7 +194,9 @@ def _mixed(multi: DataFrame, roots: DataFrame) -> DataFrame:
     parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("nn"), F.max_by("comp", "c").alias("big"))
     whole = whole.filter("k > 1").select("bucket", "big", ((F.col("n") * F.col("n") - F.col("nn")) / 2 / F.col("n")).alias("cross"))
-    return materialize(placed.join(whole, "bucket"), "mixed")
+    out = materialize(placed.join(whole, "bucket"), "mixed")
+    discard(placed)
+    return out
 
 
 def _cross_pairs(mixed: DataFrame, least: int = 2) -> DataFrame:
@@ -224,25 +229,29 @@ def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     confirm = _Confirm(df, classes, words, percent, bands * rows)
 
     tested = materialize(_leader_pairs(multi, leaders, 0), "pairs")
-    links = materialize(confirm.links(tested), "links")
+    links = confirm.links(tested)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    mixed = _mixed(multi, roots)
-    sets = confirm.sets(mixed.select("fp").distinct())
-    multi = mixed.select("bucket", "fp").join(confirm.linkable(sets), "fp", "left_semi")
+    first = _mixed(multi, roots)
+    discard(multi, links)
+    sets = confirm.sets(first.select("fp").distinct())
+    multi = materialize(first.select("bucket", "fp").join(confirm.linkable(sets), "fp", "left_semi"), "buckets")
+    discard(first)
     for k in range(1, rounds + 1):
         mixed = _mixed(multi, roots)
         size, cross = mixed.agg(F.count(F.lit(1)), F.sum("cross")).first()
         last = k == rounds or (cross or 0) <= 20 * size
         pairs = _cross_pairs(mixed) if last else _leader_pairs(mixed.select("bucket", "fp"), leaders, 100 * k)
         pairs = materialize(_untested(pairs, tested), "pairs")
-        more = materialize(confirm.links(pairs, sets), "links")
+        more = confirm.links(pairs, sets)
         if more.limit(1).count():
             edges = plain_union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")), more.select(F.col("a").alias("u"), F.col("b").alias("v")))
             roots = components(edges)
+        discard(mixed, more)
         if last:
             break
         tested = plain_union(tested, pairs)
 
+    discard(sets, multi)
     # the smallest doc_id of each component, by class; then every row takes that of its class
     linked = classes.select("fp", "doc_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "roots")

@@ -47,7 +47,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that no later plan reads, and let go of shuffle files that nothing holds."""
+    for df in frames:
+        _remove(df.sparkSession, df._written_to)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()  # Spark drops shuffle files when their plans are collected
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
