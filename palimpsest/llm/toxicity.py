@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are maximal runs of ASCII letters and non-ASCII characters, A-Z lower-cased, hashed to 2**32 places together with
-the prefix of each longer run (inflected forms share it). The machine scores
+prefixes of each longer run (inflected forms share them). The machine scores
   w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 over the terms present, so a pair such as an insult and a group's name weighs more, or less, than its parts.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.runtime import chunks, materialize, text_bytes
 from palimpsest.llm.textops import LETTER, mix, run_hashes, runs
 
-#: Bytes of a run that its prefix term keeps.
-PREFIX = 5
+#: Bytes that the prefix terms of a longer run keep.
+PREFIXES = (4, 5, 6)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,9 +42,12 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts, ends, before = runs(raw, offsets, LETTER)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     whole = run_hashes(raw, starts, ends) >> np.uint64(32)
-    long = ends - starts > PREFIX
-    prefix = mix(run_hashes(raw, starts[long], starts[long] + PREFIX) ^ np.uint64(0x70726566)) >> np.uint64(32)
-    return np.concatenate([whole, prefix]).astype(np.int64), np.concatenate([text, text[long]])
+    found, owner = [whole], [text]
+    for size in PREFIXES:
+        long = ends - starts > size
+        found.append(mix(run_hashes(raw, starts[long], starts[long] + size) ^ np.uint64(size)) >> np.uint64(32))
+        owner.append(text[long])
+    return np.concatenate(found).astype(np.int64), np.concatenate(owner)
 
 
 @dataclass(frozen=True)
@@ -77,15 +80,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _fit(rows: np.ndarray, place: np.ndarray, labels: np.ndarray, n_terms: int, rank: int, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Adam on the log loss in minibatches; rows are sorted."""
+def _fit(rows: np.ndarray, place: np.ndarray, labels: np.ndarray, n_terms: int, rank: int, steps: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Adam on the log loss over ``steps`` minibatches at least, whole passes; rows are sorted."""
     rng = np.random.default_rng(17)
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    theta = np.concatenate([np.zeros((n_terms, 1)), rng.normal(0, 0.05, (n_terms, rank))], axis=1)
+    # linear weights start at smoothed log odds, so that a term seen only beside others still counts when it stands alone
+    n1 = labels.sum()
+    c1 = np.bincount(place, labels[rows], n_terms)
+    c0 = np.bincount(place, 1 - labels[rows], n_terms)
+    odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (len(labels) - n1 + 1))
+    theta = np.concatenate([0.7 * np.clip(odds, -6, 6)[:, None], rng.normal(0, 0.05, (n_terms, rank))], axis=1)
     bias = np.array([np.log(share / (1 - share))])
     m, s, mb, sb, step = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0, 0
     begin = np.searchsorted(rows, np.arange(len(labels) + 1))
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(labels))
         for at in range(0, len(order), 512):
             batch = order[at : at + 512]
@@ -100,10 +108,11 @@ def _fit(rows: np.ndarray, place: np.ndarray, labels: np.ndarray, n_terms: int,
             np.add.at(squares, own, v * v)
             z = bias[0] + np.bincount(own, theta[j, 0], len(batch)) + 0.5 * (sums**2 - squares).sum(1)
             error = (_sigmoid(z) - labels[batch]) / len(batch)
-            grad = decay * theta / max(1, len(order) // 512)
+            grad = np.zeros_like(theta)
             np.add.at(grad, j, np.concatenate([error[own, None], error[own, None] * (sums[own] - v)], axis=1))
             step += 1
             m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
+            theta *= 1 - rate * decay  # apart from Adam's scaling, which would turn any decay into full steps
             theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
             g = error.sum()
             mb, sb = 0.9 * mb + 0.1 * g, 0.999 * sb + 0.001 * g * g
@@ -111,7 +120,7 @@ def _fit(rows: np.ndarray, place: np.ndarray, labels: np.ndarray, n_terms: int,
     return theta[:, 0].copy(), theta[:, 1:].copy(), float(bias[0])
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", admit: Column | None = None, sample: int = 20_000, n_terms: int = 2048, least_z: float = 5.0, least_df: int = 5, rank: int = 4, epochs: int = 40) -> Machine:
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", admit: Column | None = None, sample: int = 20_000, n_terms: int = 2048, least_z: float = 5.0, least_df: int = 5, rank: int = 4, steps: int = 2000) -> Machine:
     """Learn from labelled documents; see the module's text for the bounds."""
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     if admit is not None:
@@ -147,7 +156,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", admit:
     data = known.select("doc_id", "y").join(hits, "doc_id", "left").select("doc_id", "y", F.sort_array("places").alias("places")).orderBy("doc_id", "y").toPandas()
     held = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in data["places"]]
     where = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    w, v, b = _fit(where, np.concatenate(held) if held else np.zeros(0, np.int64), (data["y"].to_numpy() == 1).astype(float), len(places), rank, epochs, 0.02, 1e-3)
+    w, v, b = _fit(where, np.concatenate(held) if held else np.zeros(0, np.int64), (data["y"].to_numpy() == 1).astype(float), len(places), rank, steps, 0.01, 1e-3)
     return Machine(places, w, v, b)
 
 

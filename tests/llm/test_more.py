@@ -28,7 +28,7 @@ def test_archives(spark):
         same = [q for q, _, h in rows if (h or "").encode() == body and q is not None]
         first = min(same) if same and len(body) >= 100 and sum((h or "").encode() == body for _, _, h in rows) > 1 else None
         revisit = first is not None and p != first
-        want.append(f"Row(page_id={p}, payload_bytes={len(body)}, payload_digest='{hashlib.sha256(body).hexdigest()}', record_type='{'revisit' if revisit else 'response'}', refers_to={first if revisit else None}, payload={bytearray(b'' if revisit else body)!r})")
+        want.append(f"Row(page_id={p}, payload_bytes={len(body)}, payload_digest='{hashlib.sha256(body).hexdigest()}', record_type='{'revisit' if revisit else 'response'}', refers_to={first if revisit else None}, payload={(b'' if revisit else body)!r})")
     assert got == sorted(want)
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
     records = [f"record {i} ".encode() * (i + 1) for i in range(50)]
@@ -136,7 +136,7 @@ def test_pairs_count_in_the_machine():
     rows = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)])
     terms = np.concatenate([np.zeros(a.sum(), int), np.ones(b.sum(), int)])
     order = np.lexsort((terms, rows))
-    w, v, bias = toxicity._fit(rows[order], terms[order], (a != b).astype(float), 2, 4, 60, 0.02, 1e-4)
+    w, v, bias = toxicity._fit(rows[order], terms[order], (a != b).astype(float), 2, 4, 1500, 0.02, 1e-4)
     m = toxicity.Machine(np.array([0, 1]), w, v, bias)
     p = toxicity._sigmoid(m.raw(np.array([0, 1, 2, 2]), np.array([0, 1, 0, 1]), 4))
     assert p[0] > 0.8 and p[1] > 0.8 and p[2] < 0.2 and p[3] < 0.2
