@@ -146,15 +146,15 @@ class _Confirm:
         return materialize(_sets(self.df, self.classes.select("doc_id", "tkey", "fp").join(wanted, "fp", "left_semi"), self.words), "sets")
 
     def linkable(self, sets: DataFrame) -> DataFrame:
-        """fp of the classes that can link with another class in ``sets`` at all.
+        """fp, n, c of the classes that can link with another class in ``sets`` at all; c of their n shingles occur in another.
 
-        A set's similarity to any other is at most the share of its shingles that occur in some other set. Where that share
-        is under the threshold, the class needs no pairs: it is proven to have no link here.
+        A set has at most c shingles in common with any other, so its similarity to any is at most c / n. Where that is under
+        the threshold, the class needs no pairs: it is proven to have no link here.
         """
         held = sets.select("fp", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
         common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("shingle")
         seen = held.join(common, "shingle").groupBy("fp", "n").agg(F.count(F.lit(1)).alias("c"))
-        return seen.filter(100 * F.col("c") >= self.percent * F.col("n")).select("fp")
+        return seen.filter(100 * F.col("c") >= self.percent * F.col("n"))
 
     def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of pairs (a, b), those that link, written; ``sets`` holds their classes' sets if they were read before."""
@@ -189,7 +189,7 @@ def _leader_pairs(multi: DataFrame, leaders: int, seed: int) -> DataFrame:
 
 def _mixed(multi: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, fp, comp, big, cross): rows of buckets with several components; cross adds up to the pairs across them."""
-    placed = multi.select("bucket", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("comp"))
+    placed = multi.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(*multi.columns, F.coalesce("root", "fp").alias("comp"))
     placed = materialize(placed, "placed")
     parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("nn"), F.max_by("comp", "c").alias("big"))
@@ -199,14 +199,18 @@ def _mixed(multi: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def _cross_pairs(mixed: DataFrame, least: int = 2) -> DataFrame:
+def _cross_pairs(mixed: DataFrame, percent: int, least: int = 2) -> DataFrame:
     """Pairs of classes of different components that share buckets, the one outside its bucket's largest component first.
 
-    Sets of similarity 0.8 share 13 of 32 buckets on average, and fewer than three once in eighty thousand; a pair that
-    shares three has at least two of one orientation.
+    Two sets have at most m, the smaller of their counts of shingles that occur elsewhere, in common; pairs that could not
+    reach the threshold even so are not made. Sets of similarity 0.8 share 13 of 32 buckets on average, and fewer than
+    three once in eighty thousand; a pair that shares three has at least two of one orientation.
     """
-    rest = mixed.filter(F.col("comp") != F.col("big")).select("bucket", F.col("fp").alias("a"), F.col("comp").alias("rc"))
-    pairs = rest.join(mixed, "bucket").filter((F.col("comp") != F.col("rc")) & ((F.col("comp") == F.col("big")) | (F.col("a") < F.col("fp"))))
+    rest = mixed.filter(F.col("comp") != F.col("big")).select("bucket", F.col("fp").alias("a"), F.col("comp").alias("rc"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    m = F.least("ca", "c")
+    able = 100 * m >= percent * (F.col("na") + F.col("n") - m)
+    across = (F.col("comp") != F.col("rc")) & ((F.col("comp") == F.col("big")) | (F.col("a") < F.col("fp")))
+    pairs = rest.join(mixed, "bucket").filter(across & able)
     return pairs.groupBy("a", F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("a", "b")
 
 
@@ -234,13 +238,13 @@ def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     first = _mixed(multi, roots)
     discard(multi, links)
     sets = confirm.sets(first.select("fp").distinct())
-    multi = materialize(first.select("bucket", "fp").join(confirm.linkable(sets), "fp", "left_semi"), "buckets")
+    multi = materialize(first.select("bucket", "fp").join(confirm.linkable(sets), "fp"), "buckets")
     discard(first)
     for k in range(1, rounds + 1):
         mixed = _mixed(multi, roots)
         size, cross = mixed.agg(F.count(F.lit(1)), F.sum("cross")).first()
         last = k == rounds or (cross or 0) <= 20 * size
-        pairs = _cross_pairs(mixed) if last else _leader_pairs(mixed.select("bucket", "fp"), leaders, 100 * k)
+        pairs = _cross_pairs(mixed, percent) if last else _leader_pairs(mixed.select("bucket", "fp"), leaders, 100 * k)
         pairs = materialize(_untested(pairs, tested), "pairs")
         more = confirm.links(pairs, sets)
         if more.limit(1).count():
