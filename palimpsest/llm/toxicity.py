@@ -151,9 +151,18 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", admit:
     places = np.sort(np.array([r["term"] for r in strong.collect()], np.int64))
     if not len(places):
         return empty
-    wide = documents.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(places)], "term bigint, place int")
-    hits = found.join(F.broadcast(wide), "term").select("doc_id", "place").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    data = known.select("doc_id", "y").join(hits, "doc_id", "left").select("doc_id", "y", F.sort_array("places").alias("places")).orderBy("doc_id", "y").toPandas()
+    def placed(batches):
+        """The screened terms of each sample row, as places in ``places`` (2048 numbers at most)."""
+        for batch in chunks(batches, "text"):
+            found, text = terms(*text_bytes(batch.column(1)))
+            at = np.minimum(np.searchsorted(places, found), len(places) - 1)
+            hit = places[at] == found
+            pair = np.unique(text[hit].astype(np.int64) << 32 | at[hit])
+            ends = np.searchsorted(pair, np.arange(batch.num_rows + 1, dtype=np.int64) << 32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((pair & 0xFFFFFFFF).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "y", "places"])
+
+    data = known.select("doc_id", "text", "y").mapInArrow(placed, "doc_id bigint, y int, places array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
     held = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in data["places"]]
     where = np.repeat(np.arange(len(held)), [len(h) for h in held])
     w, v, b = _fit(where, np.concatenate(held) if held else np.zeros(0, np.int64), (data["y"].to_numpy() == 1).astype(float), len(places), rank, steps, 0.01, 1e-3)
