@@ -98,7 +98,8 @@ class TokenTree:
                 node += 1
         return node, first
 
-    def edit(self, start: int, end: int, replacement: str) -> None:
+    def region(self, start: int, end: int, replacement: str) -> tuple[int, int, np.ndarray, list[int]]:
+        """(first leaf, last leaf, new bytes of the leaves that an edit touches, ends of the leaves to make of them)."""
         start = min(max(start, 0), self.n_chars)
         end = min(max(end, start), self.n_chars)
         a, first = self._leaf(start)
@@ -112,17 +113,20 @@ class TokenTree:
             stop += self.chars[0][b]
         old = "".join(self.texts[a : b + 1])
         new = old[: start - first] + replacement + old[end - first :]
+        self.encoded += len(new)
         raw = np.frombuffer(new.encode(), np.uint8)
         slots = b + 1 - a
-        self.encoded += len(new)
-        if len(raw) > 4 * LEAF * slots:  # the leaves would grow too large: more leaves, so a new tree over the old counts
-            texts, tokens = _leaves(raw, np.array([0, *_cuts(raw)]), self.source)
+        size = LEAF if len(raw) > 4 * LEAF * slots else max(LEAF, -(-len(raw) // slots))
+        return a, b, raw, [0, *_cuts(raw, size)]
+
+    def put(self, a: int, b: int, texts: list[str], tokens: list[int]) -> None:
+        """Let leaves a..b hold these texts, and bring the sums above them up to date."""
+        slots = b + 1 - a
+        if len(texts) > slots:  # the leaves would grow too large: more leaves, so a new tree over the old counts
             self.texts[a : b + 1] = texts
             chars = self.chars[0][:a] + [len(t) for t in texts] + self.chars[0][b + 1 :]
             self._sum(chars, self.tokens[0][:a] + tokens + self.tokens[0][b + 1 :])
             return
-        ends = [0, *_cuts(raw, max(LEAF, -(-len(raw) // slots)))]
-        texts, tokens = _leaves(raw, np.array(ends), self.source)
         for k in range(slots):  # a slot without text stays, with sums of 0
             self.texts[a + k] = texts[k] if k < len(texts) else ""
             self.chars[0][a + k] = len(self.texts[a + k])
@@ -134,6 +138,10 @@ class TokenTree:
                 for node in range(lo, hi + 1):
                     levels[level][node] = sum(levels[level - 1][node * FAN : node * FAN + FAN])
 
+    def edit(self, start: int, end: int, replacement: str) -> None:
+        a, b, raw, ends = self.region(start, end, replacement)
+        self.put(a, b, *_leaves(raw, np.array(ends), self.source))
+
     def to_bytes(self) -> bytes:
         return json.dumps({"texts": self.texts, "tokens": self.tokens[0]}).encode()
 
@@ -164,13 +172,22 @@ def _grown(batch: pa.RecordBatch, column: int, source: FragmentEncoder) -> list[
     return out
 
 
-def _apply(tree: TokenTree, edits: list[dict] | None) -> int:
-    done = 0
-    for e in edits or []:
-        if e is not None and e["start"] is not None:
-            tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["replacement"] or "")
-            done += 1
-    return done
+def _apply(trees: list[TokenTree], edits: list[list[dict] | None], source: FragmentEncoder) -> list[int]:
+    """Apply each tree's edits in order; the regions of all trees' k-th edits are encoded in one call. Returns edits done."""
+    todo = [[e for e in own or [] if e is not None and e["start"] is not None] for own in edits]
+    for k in range(max(map(len, todo), default=0)):
+        asked = [(tree, tree.region(e["start"], e["start"] if e["end"] is None else e["end"], e["replacement"] or "")) for tree, own in zip(trees, todo, strict=True) if len(own) > k for e in [own[k]]]
+        ends, at = [0], 0
+        for _, (_, _, raw, cuts) in asked:
+            ends += [at + c for c in cuts[1:]]
+            at += len(raw)
+        texts, tokens = _leaves(np.concatenate([r[2] for _, r in asked]), np.array(ends), source)
+        at = 0
+        for tree, (a, b, _, cuts) in asked:
+            n = len(cuts) - 1
+            tree.put(a, b, texts[at : at + n], tokens[at : at + n])
+            at += n
+    return [len(own) for own in todo]
 
 
 _OUT = "n_tokens bigint, n_edits int, n_chars_after bigint, n_tokens_after bigint, n_chars_encoded bigint"
@@ -195,11 +212,10 @@ def edit_trees(trees: DataFrame, path: str) -> DataFrame:
     def run(batches):
         source = encoder(path, "byte")
         for batch in batches:
-            rows = []
-            for data, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree = TokenTree.from_bytes(data, source) if data is not None else TokenTree.of("", source)
-                n = tree.n_tokens
-                rows.append((n, _apply(tree, edits), tree.n_chars, tree.n_tokens, tree.encoded, tree.to_bytes()))
+            trees = [TokenTree.from_bytes(data, source) if data is not None else TokenTree.of("", source) for data in batch.column(1).to_pylist()]
+            before = [t.n_tokens for t in trees]
+            done = _apply(trees, batch.column(2).to_pylist(), source)
+            rows = [(n, k, t.n_chars, t.n_tokens, t.encoded, t.to_bytes()) for n, k, t in zip(before, done, trees, strict=True)]
             yield _batch(batch.column(0), rows, True)
 
     return trees.select("doc_id", "tree", F.col("edits").cast(EDITS)).mapInArrow(run, f"doc_id bigint, {_OUT}, tree binary")
@@ -211,10 +227,10 @@ def edited_counts(df: DataFrame, path: str) -> DataFrame:
     def run(batches):
         source = encoder(path, "byte")
         for batch in chunks(batches, "text"):
-            rows = []
-            for tree, edits in zip(_grown(batch, 1, source), batch.column(2).to_pylist(), strict=True):
-                n = tree.n_tokens
-                rows.append((n, _apply(tree, edits), tree.n_chars, tree.n_tokens, tree.encoded))
+            trees = _grown(batch, 1, source)
+            before = [t.n_tokens for t in trees]
+            done = _apply(trees, batch.column(2).to_pylist(), source)
+            rows = [(n, k, t.n_chars, t.n_tokens, t.encoded) for n, k, t in zip(before, done, trees, strict=True)]
             yield _batch(batch.column(0), rows, False)
 
     return df.select("doc_id", "text", F.col("edits").cast(EDITS)).mapInArrow(run, f"doc_id bigint, {_OUT}")
