@@ -63,6 +63,31 @@ def test_many_leaders_then_all_pairs(spark):
     assert got == sorted(brute(rows, 2))
 
 
+def test_links_of_one_common_bucket(spark):
+    """Every link between classes in a common bucket counts, however few buckets they share."""
+    rows = list(enumerate(near(8, 120)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bands = {r.doc_id: set(r.bands) for r in minhash.signatures(df, 2, 4, 4).collect()}
+    sets = {d: sets_of(t, 2) for d, t in rows}
+    component = {d: d for d, _ in rows}
+    for i in component:
+        for j in range(i):
+            if bands[i] & bands[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = component[i], component[j]
+                component = {d: new if c == old else c for d, c in component.items()}
+    want = {d: min(e for e in component if component[e] == c) for d, c in component.items()}
+    got = minhash.groups(df, words=2, bands=4, leaders=1, rounds=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_cross_pairs_by_one_bucket_or_either_way(spark):
+    """p and q share one bucket; r and s share two, each once in the bucket's largest component."""
+    rows = [(1, "p", "p", "q"), (1, "q", "q", "q"), (2, "r", "r", "s"), (2, "s", "s", "s"), (3, "r", "r", "r"), (3, "s", "s", "r")]
+    mixed = spark.createDataFrame([(b, f.encode(), c.encode(), g.encode(), 10, 10) for b, f, c, g in rows], "bucket bigint, fp binary, comp binary, big binary, n bigint, c bigint")
+    got = sorted(tuple(sorted((bytes(r.a), bytes(r.b)))) for r in minhash._cross_pairs(mixed, 80).collect())
+    assert got == [(b"p", b"q"), (b"r", b"s")]
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)] + [(7, 7), (500, 500)]
