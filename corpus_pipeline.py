@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that three documents or more share, but for the last document that holds them."""
-    return line_dedup.LineIndex.build(docs, reversible=False).rewrite(docs)
+    return line_dedup.LineIndex.build(docs).rewrite(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return line_dedup.LineIndex.build(documents, min_docs=3, min_length=20, reversible=False).digest(documents)
+    return line_dedup.LineIndex.build(documents, min_docs=3, min_length=20).digest(documents)
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from palimpsest.llm import cuckoo, line_dedup, quality, queries
 
 LONG = "x" * 25
@@ -72,6 +73,21 @@ def test_line_index_is_reversible(spark):
     assert rows(back.counts) == rows(alone.counts) and rows(back.digest(first)) == rows(alone.digest(first))
 
 
+def test_query_and_stage_build_a_reversible_index(spark, monkeypatch):
+    made = []
+    build = line_dedup.LineIndex.build
+    monkeypatch.setattr(line_dedup.LineIndex, "build", lambda *args, **options: made.append(build(*args, **options)) or made[-1])
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    queries.op6_line_dedup(spark, sf)
+    corpus_pipeline.line_stage(spark, docs, sf)
+    half = docs.filter("doc_id % 2 = 0")
+    alone = build(docs.filter("doc_id % 2 <> 0"))
+    for index in made:
+        assert sorted(index.remove(half).counts.collect()) == sorted(alone.counts.collect())
+    assert len(made) == 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 50_000])
 def test_cuckoo(n):
     rng = np.random.default_rng(n)
