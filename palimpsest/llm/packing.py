@@ -2,9 +2,14 @@
 
 Documents become pieces of at most ``size`` tokens; a full piece is a sequence by itself. The rest is dealt to parts at
 random, each part is packed by best-fit decreasing, and dual-feasible functions give a lower bound for its bins. Where
-bins equal the bound, no packing of that part is better. Parts with a gap, and the bins that are not full once the sum
-over parts exceeds the bound of all pieces together, give up the pieces of their open bins, which are dealt anew to
-fewer parts (documents so move between parts) and packed again; a new packing counts only if it needs fewer bins.
+bins equal the bound, no packing of that part is better: the part is certified. Until the bins of all parts meet the
+bound of all pieces together, two kinds of exchange follow, each as often as it gains something:
+ 1. Parts with a gap give up all their pieces, which are dealt anew among them (documents so move between parts) and packed
+    again, while certified parts stay whole.
+ 2. Once that gains nothing, or fewer than two parts have a gap, what is missed lies between the parts, as each rounds up
+    its own bins: all parts, certified or not, give up the pieces of their open bins, which are dealt anew to fewer parts.
+A new packing counts only if it needs fewer bins. Each exchange is dealt to a quarter of its parts, but to no wider ones than
+``WIDEST`` and ``WIDEST_OPEN`` say, so a task never grows with the input; what an exchange without gain misses is left.
 
 Dual-feasible functions: identity; rounding u_k (Fekete and Schepers) for k to 100; the threshold function of Martello and
 Toth for every threshold.
@@ -29,6 +34,8 @@ from palimpsest.session import plain_union
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces to a part, on average.
 PART_PIECES = 40_000
+#: The most pieces to a part in an exchange of documents and of open bins, on average, in PART_PIECES.
+WIDEST, WIDEST_OPEN = 4, 64
 
 
 def pieces(df: DataFrame, path: str, end_id: int, size: int, with_ids: bool = False) -> DataFrame:
@@ -112,58 +119,82 @@ def _pack(size: int):
     return run
 
 
-def pack(items: DataFrame, size: int, rounds: int = 3) -> DataFrame:
-    """``items`` (length of 1 to size, any other columns but those named here) with sequence_id and offset."""
-    spark = items.sparkSession
+def pack(items: DataFrame, size: int, rounds: int | None = None) -> DataFrame:
+    """``items`` (length of 1 to size, any other columns but those named here) with sequence_id and offset.
+
+    ``rounds`` limits the exchanges; without it they go on until the bound is met or they gain nothing.
+    """
     columns = items.columns
     keep = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
     full = items.filter(F.col("length") == size).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     rest = items.filter(F.col("length") < size)
-    n = rest.count()
     # the histogram of all lengths has ``size`` rows at most
     counts = np.zeros(size + 1, np.int64)
     for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["length"]] = r["n"]
     bound = lower_bound(counts, size)
-    done: list[DataFrame] = []
-    total = 0
-    parts = max(1, -(-n // PART_PIECES))
-    now, was = rest, None
-    for k in range(rounds + 1):
-        dealt = now.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int")) if parts > 1 else now.withColumn("part", F.lit(0))
-        packed = dealt.groupBy("part").applyInPandas(_pack(size), f"{keep}, part int, bin bigint, offset bigint, open boolean, gap bigint")
-        packed = materialize(packed, "packed")
-        state = packed.groupBy("part").agg(F.max("bin").alias("m"), F.first("gap").alias("gap")).agg(F.sum(F.col("m") + 1).alias("bins"), F.sum("gap").alias("gap"), F.count(F.lit(1)).alias("parts")).first()
-        bins = int(state["bins"] or 0)
-        if was is not None and bins >= was[1]:  # packing anew has gained nothing: the former bins stay
-            done.append(was[0])
+
+    def packed(now: DataFrame, k: int, parts: int) -> tuple[DataFrame, list]:
+        """The pieces packed in ``parts`` parts, written; and bins, open bins, gap, pieces and pieces in open bins of each part."""
+        part = F.pmod(F.xxhash64(F.lit(k), "doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+        out = now.select(*columns).withColumn("part", part).groupBy("part").applyInPandas(_pack(size), f"{keep}, part int, bin bigint, offset bigint, open boolean, gap bigint")
+        out = materialize(out, "packed")
+        figures = [F.max("bin") + 1, F.count_if(F.col("open") & (F.col("offset") == 0)), F.first("gap"), F.count(F.lit(1)), F.count_if("open")]
+        return out, out.groupBy("part").agg(*[f.alias(n) for f, n in zip(figures, ("bins", "open_bins", "gap", "pieces", "loose"), strict=True)]).collect()
+
+    def gained(former: list, state: list, figure: str) -> int:
+        return sum(r[figure] for r in former) - sum(r["bins"] for r in state)
+
+    k = 0
+    now, state = packed(rest, k, max(1, -(-int(counts.sum()) // PART_PIECES)))
+    total = sum(r["bins"] for r in state)
+    held = [(k, now, state)]  # (exchange, frame, its parts) of all pieces as they lie
+    while total > bound and (rounds is None or k < rounds):  # parts with a gap exchange documents
+        last, now, state = held[-1]
+        gaps = [r for r in state if r["gap"]]
+        if len(gaps) < 2:
+            break
+        k += 1
+        again, changed = packed(now.filter("gap > 0"), k, _joined(gaps, "pieces", WIDEST))
+        gain = gained(gaps, changed, "bins")
+        if gain <= 0:
             break
-        if total + bins <= bound or not bins or k == rounds or (state["parts"] == 1 and k):
-            done.append(_numbered(packed, columns, k))
+        held[-1:] = [(last, now.filter("gap = 0"), [r for r in state if not r["gap"]]), (k, again, changed)]
+        total -= gain
+    shut: list[DataFrame] = []
+    while total > bound and (rounds is None or k < rounds):  # all parts exchange the pieces of open bins
+        givers = [r for _, _, state in held for r in state if r["open_bins"]]
+        if len(givers) < 2:
             break
-        # certified parts keep all but their open bins; those with a gap exchange the pieces of all bins that are open
-        closed, loose = packed.filter(~F.col("open")), packed.filter("open")
-        done.append(_numbered(closed, columns, k))
-        shut = closed.select("part", "bin").distinct().count()
-        total += shut
-        was = (_numbered(loose, columns, k), bins - shut)
-        now = loose.select(*columns)
-        parts = max(1, min(parts // 4, -(-loose.count() // PART_PIECES)))
-    return plain_union(full, *done)
+        k += 1
+        again, changed = packed(plain_union(*[now.filter("open").select(*columns) for _, now, _ in held]), k, _joined(givers, "loose", WIDEST_OPEN))
+        gain = gained(givers, changed, "open_bins")
+        if gain <= 0:
+            break
+        shut += [_numbered(now.filter(~F.col("open")), columns, j) for j, now, _ in held]
+        held = [(k, again, changed)]
+        total -= gain
+    return plain_union(full, *shut, *[_numbered(now, columns, j) for j, now, _ in held])
+
+
+def _joined(parts: list, figure: str, widest: int) -> int:
+    """How many parts an exchange between ``parts`` is dealt to."""
+    pieces_ = sum(r[figure] for r in parts)
+    return max(1, -(-pieces_ // (widest * PART_PIECES)), min(len(parts) // 4, -(-pieces_ // PART_PIECES)))
 
 
 def _numbered(packed: DataFrame, columns: list[str], k: int) -> DataFrame:
     """A sequence_id from round, part and bin."""
-    number = F.lit(k).cast("bigint") * (1 << 58) + F.col("part").cast("bigint") * (1 << 28) + F.col("bin")
+    number = F.lit(k).cast("bigint") * (1 << 48) + F.col("part").cast("bigint") * (1 << 28) + F.col("bin")
     return packed.select(*columns, number.alias("sequence_id"), "offset")
 
 
-def packed_documents(df: DataFrame, path: str, end_id: int = 1, size: int = 4096, rounds: int = 3) -> DataFrame:
+def packed_documents(df: DataFrame, path: str, end_id: int = 1, size: int = 4096, rounds: int | None = None) -> DataFrame:
     """Tokenize, cut and pack all texts: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(materialize(pieces(df, path, end_id, size), "pieces"), size, rounds)
 
 
-def sequences(df: DataFrame, path: str, end_id: int = 1, size: int = 4096, rounds: int = 3) -> DataFrame:
+def sequences(df: DataFrame, path: str, end_id: int = 1, size: int = 4096, rounds: int | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens, ids (little-endian unsigned 32-bit). A sequence is bounded."""
     parts = pack(materialize(pieces(df, path, end_id, size, with_ids=True), "pieces"), size, rounds)
     by = parts.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))

@@ -103,6 +103,32 @@ def test_packing(spark, monkeypatch):
     assert all(r.n_tokens * 4 == len(r.ids) for r in whole.collect())
 
 
+def test_gaps_choose_the_exchange(spark, monkeypatch):
+    """Parts without a gap stay whole, parts with one give up full bins too; open bins of certified parts come last."""
+    monkeypatch.setattr(packing, "PART_PIECES", 40)
+    dealt = []
+    monkeypatch.setattr(packing, "materialize", lambda df, label, write=packing.materialize: dealt.append(write(df, label)) or dealt[-1])
+    rng = np.random.default_rng(6)
+    items = [(i, 0, int(n), i) for i, n in enumerate(rng.integers(9, 60, 1500))]
+    df = spark.createDataFrame(items, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint")
+    rows = packing.pack(df, 100).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == [(d, n) for d, _, n, _ in items]
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 100
+    first, second = (f.collect() for f in dealt[:2])
+    assert {r.gap > 0 for r in first} == {True, False} and not all(r.open for r in first if r.gap)
+    assert sorted(r.doc_id for r in second) == sorted(r.doc_id for r in first if r.gap)
+
+
+def test_exchange_until_the_bound(spark, monkeypatch):
+    """Hundreds of parts are joined as long as that gains something, not three times."""
+    monkeypatch.setattr(packing, "PART_PIECES", 4)
+    df = spark.createDataFrame([(i, 0, 10, i) for i in range(2400)], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint")
+    assert packing.pack(df, 100).select("sequence_id").distinct().count() == 240
+
+
 @pytest.fixture(scope="module")
 def machine(spark):
     return queries.toxicity_machine(spark, SF.replace("0.001", "0.1"))
