@@ -6,8 +6,9 @@ prefixes of each longer run (inflected forms share them). The machine scores
 over the terms present, so a pair such as an insult and a group's name weighs more, or less, than its parts.
 
 Learning uses at most ``sample`` labelled rows (those of smallest hash of doc_id among the rows that ``train`` admits: a
-documented bound, the only thing here that is bounded by count). Terms are screened on them first: ``terms`` terms whose
-rates in the two classes differ most, by a z value of ``least_z`` at least; all others weigh nothing. Both passes over
+documented bound). Terms are screened on them first: ``n_terms`` terms, a second bound by count, of ``least_df`` sample rows
+at least, whose rates in the two classes differ most, by a z value of ``least_z`` at least; all others weigh nothing. So pairs
+are learnt only between terms that differ alone: a term that matters in a pair only gets no factor. Both passes over
 the sample aggregate before they shuffle, and only the screened terms and their places in sample rows reach the driver.
 Scoring reads whole texts, in one pass without a shuffle.
 
