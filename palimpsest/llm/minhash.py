@@ -5,19 +5,24 @@ whole sequence; texts without words have none and link with nothing. Two sets li
 
  1. Each text gets ``bands * rows`` minima of hashes h(x) = a x + b mod 2**64, a bucket key for each band, eight bits of
     each minimum as signature, and a 128-bit fingerprint of its set. Equal sets are one class from here on.
- 2. In each bucket all classes are paired with a few leaders, not with each other. Pairs that pass on set size and
-    signature are confirmed on their full shingle sets, and the links' components are found.
- 3. Buckets that still hold several components may hide a link that no leader saw. Of their classes those leave whose
-    shingles occur too rarely in the others to allow any link. While many pairs across components are left more leaders are
-    tried; then all remaining pairs across components are, so that no link between classes in a common bucket goes
-    unnoticed. Pairs inside one component can't change it and are never made.
-
-With 32 bands of 4, sets of similarity 0.8 meet in no bucket once in twenty million; a signature of 128 agrees on too few
-bytes for such a pair once in a billion. Shingles are compared by 64-bit hashes.
+ 2. Each bucket of several classes has a hub, the class that meets most others in all its buckets. Every class is paired
+    with the hubs of its buckets only; the signatures and then the full sets decide which of them link, and the
+    links' components are found.
+ 3. A hub's classes may still lie in several components, and two of them may link although neither links with the hub.
+    Relative to the hub h a class a is |a & h| and its extras a - h, and |a & b| <= min(|a & h|, |b & h|) + |extras in
+    common|. First, classes leave whose own bound, with the extras that occur in any other class of this hub, is too
+    low; they are proven to have no link. Then classes outside the hub's largest component meet all others in blocks of
+    bounded size: the extras in common are counted, and only pairs that could still link leave the block, to be confirmed like
+    the others. Pairs inside one component can't change it and never leave a block.
+
+So every link between classes in a common bucket counts. With 32 bands of 4, sets of similarity 0.8 meet in no bucket
+once in twenty million; a signature of 128 agrees on too few bytes for such a pair once in a billion. Shingles are compared
+by 64-bit hashes. The work in blocks grows with the product of a hub's classes in and outside its largest component
+that the first bound leaves, divided among as many tasks; rows do not.
 
 Contract for odd input: null texts count as empty; rows of a null doc_id take part, and a group of such rows alone has a
 null component_id; rows of equal doc_id are rows of their own; an empty table gives an empty result; other columns are
-ignored by ``groups`` and pass through ``representatives`` unchanged.
+ignored by ``groups`` and pass through ``representatives`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,17 +33,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.components import components
-from palimpsest.llm.runtime import chunks, discard, materialize, text_bytes
+from palimpsest.llm.runtime import chunks, discard, free_names, materialize, text_bytes
 from palimpsest.llm.textops import mix, shingle_hashes, word_hashes
 from palimpsest.session import plain_union
 
 #: The sets of a pair's first sides are broadcast up to so many shingles of 8 bytes; beyond that both sides are shuffled.
 BROADCAST_SHINGLES = 4_000_000
+#: Classes, and extras, on either side of a block, on average.
+BLOCK_CLASSES, BLOCK_EXTRAS = 1024, 1 << 20
 #: Shingles hashed at once; 128 passes over this many stay in a core's cache.
 BLOCK = 1 << 16
 
@@ -80,11 +87,11 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, tkey (hash of the text), n_shingles, fp, sig, bands of each row; fp, sig and bands are null for empty sets."""
+    """doc_id, tkey, dkey (hashes of the text, and of doc_id with it), n_shingles, fp, sig, bands of each row; fp, sig and bands are null for empty sets."""
 
     def run(batches):
         for batch in chunks(batches, "text"):
-            sets = shingle_hashes(*word_hashes(*text_bytes(batch.column(2))), words)
+            sets = shingle_hashes(*word_hashes(*text_bytes(batch.column(3))), words)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             low = minima([sets[i] for i in full], bands * rows)
@@ -99,15 +106,15 @@ def signatures(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 prints[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
                 sigs[i] = sig[k].tobytes()
                 buckets[i] = keys[k].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "tkey", "n_shingles", "fp", "sig", "bands"]
-            )
+            arrays = [*batch.columns[:3], pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tkey", "dkey", "n_shingles", "fp", "sig", "bands"])
 
-    return _keyed(df).mapInArrow(run, "doc_id bigint, tkey bigint, n_shingles bigint, fp binary, sig binary, bands array<bigint>")
+    return _keyed(df).mapInArrow(run, "doc_id bigint, tkey bigint, dkey bigint, n_shingles bigint, fp binary, sig binary, bands array<bigint>")
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
+    doc_id = F.col("doc_id").cast("bigint")
+    return df.select(doc_id.alias("doc_id"), F.xxhash64("text").alias("tkey"), F.xxhash64(F.lit(1), doc_id, "text").alias("dkey"), "text")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -119,145 +126,169 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).sum(1).astype(np.int32))
 
 
+def _classes(marked: DataFrame) -> DataFrame:
+    """id, fp, doc_id, tkey, dkey, n, sig, bands: one row for each distinct set, with its first document. To be written before use."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "dkey")).alias("m")
+    equal = [F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")]  # rows of one fp agree on these
+    one = marked.filter("n_shingles > 0").groupBy("fp").agg(least, *equal)
+    return one.select(F.monotonically_increasing_id().alias("id"), "fp", "m.doc_id", "m.tkey", "m.dkey", F.col("n_shingles").alias("n"), "sig", "bands")
+
+
 def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(fp, shingles) of the classes in ``wanted`` (doc_id, tkey, fp): one document of each is read again."""
+    """(id, n, sig, shingles) of the classes in ``wanted`` (tkey, dkey, id, n, sig): one document of each is read again."""
 
     def run(batches):
         for batch in chunks(batches, "text"):
-            sets = shingle_hashes(*word_hashes(*text_bytes(batch.column(1))), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+            sets = shingle_hashes(*word_hashes(*text_bytes(batch.column(3))), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sig", "shingles"])
+
+    texts = _keyed(df).select("tkey", "dkey", "text").join(wanted, ["tkey", "dkey"]).dropDuplicates(["tkey", "dkey"])
+    return texts.select("id", "n", "sig", "text").mapInArrow(run, "id bigint, n bigint, sig binary, shingles array<bigint>")
+
 
-    key = wanted.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), "fp")
-    texts = _keyed(df).join(key, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_tkey")))
-    return texts.select("fp", "text").mapInArrow(run, "fp binary, shingles array<bigint>").dropDuplicates(["fp"])
+def _hub_rows(multi: DataFrame, leaders: int) -> DataFrame:
+    """(hub, id) of every class with the hubs of its buckets: the ``leaders`` classes of a bucket that meet most others in all buckets."""
+    weight = multi.groupBy("id").agg(F.sum("size").alias("w"))
+    weighed = multi.join(weight, "id")
+    first = F.max(F.struct("w", "id"))["id"]
+    others = [F.max_by("id", F.xxhash64(F.lit(k), "id")) for k in range(1, leaders)]
+    led = weighed.groupBy("bucket").agg(F.array_distinct(F.array(first, *others)).alias("hubs"))
+    return multi.join(led, "bucket").select(F.explode("hubs").alias("hub"), "id").distinct()
 
 
-class _Confirm:
-    """Confirms pairs of classes: first by size and signature, then on full sets, which are read once for each class."""
+class _Test:
+    """What makes a link, as columns."""
 
-    def __init__(self, df: DataFrame, classes: DataFrame, words: int, percent: int, hashes: int):
-        self.df, self.classes, self.words, self.percent = df, classes, words, percent
+    def __init__(self, percent: int, hashes: int):
+        self.percent = percent
         share = percent / 100
         #: Six standard deviations below what sets at the threshold agree on.
         self.least = int(hashes * share - 6 * (hashes * share * (1 - share)) ** 0.5)
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(fp, shingles) of the classes in ``wanted`` (fp), written."""
-        return materialize(_sets(self.df, self.classes.select("doc_id", "tkey", "fp").join(wanted, "fp", "left_semi"), self.words), "sets")
-
-    def linkable(self, sets: DataFrame) -> DataFrame:
-        """fp, n, c of the classes that can link with another class in ``sets`` at all; c of their n shingles occur in another.
-
-        A set has at most c shingles in common with any other, so its similarity to any is at most c / n. Where that is under
-        the threshold, the class needs no pairs: it is proven to have no link here.
-        """
-        held = sets.select("fp", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("shingle"))
-        common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("shingle")
-        seen = held.join(common, "shingle").groupBy("fp", "n").agg(F.count(F.lit(1)).alias("c"))
-        return seen.filter(100 * F.col("c") >= self.percent * F.col("n"))
-
-    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        """Of pairs (a, b), those that link, written; ``sets`` holds their classes' sets if they were read before."""
-        narrow = self.classes.select("fp", "n_shingles", "sig")
-        one = narrow.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-        two = narrow.select(F.col("fp").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-        close = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        close = close.withColumn("same", _agreement("sa", "sb")).filter(F.col("same") >= self.least)
-        close = materialize(close.select("a", "b", "na", "nb"), "close")
-        own = sets is None
-        if own:
-            sets = self.sets(plain_union(close.select(F.col("a").alias("fp")), close.select(F.col("b").alias("fp"))).distinct())
-        one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("xa"))
-        two = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("xb"))
-        hubs = close.select("a", "na").distinct()
-        if (hubs.agg(F.sum("na")).first()[0] or 0) <= BROADCAST_SHINGLES:
-            # few hubs: their sets go to every task, and the other side's sets are shuffled once each, not once a pair
-            one = F.broadcast(one.join(F.broadcast(hubs.select("a")), "a", "left_semi"))
-        both = close.join(two, "b").join(one, "a").withColumn("inter", F.size(F.array_intersect("xa", "xb")).cast("bigint"))
-        out = materialize(both.filter(100 * F.col("inter") >= self.percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b"), "links")
-        discard(close, *([sets] if own else []))
-        return out
-
-
-def _leader_pairs(multi: DataFrame, leaders: int, seed: int) -> DataFrame:
-    """Pairs (leader, class) of every class in a bucket with that bucket's leaders: the first in the order of a few hashes."""
-    chosen = [F.min_by("fp", F.xxhash64(F.lit(seed + k), "fp")).alias(f"l{k}") for k in range(leaders)]
-    led = multi.groupBy("bucket").agg(*chosen).select("bucket", F.array_distinct(F.array(*[f"l{k}" for k in range(leaders)])).alias("lead"))
-    pairs = multi.join(led, "bucket").select("fp", F.explode("lead").alias("lead")).filter(F.col("fp") != F.col("lead"))
-    return pairs.select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
-
-
-def _mixed(multi: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, fp, comp, big, cross): rows of buckets with several components; cross adds up to the pairs across them."""
-    placed = multi.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(*multi.columns, F.coalesce("root", "fp").alias("comp"))
-    placed = materialize(placed, "placed")
-    parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("nn"), F.max_by("comp", "c").alias("big"))
-    whole = whole.filter("k > 1").select("bucket", "big", ((F.col("n") * F.col("n") - F.col("nn")) / 2 / F.col("n")).alias("cross"))
-    out = materialize(placed.join(whole, "bucket"), "mixed")
+    def sized(self, a: str, b: str) -> Column:
+        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+
+    def enough(self, inter: Column, a: str, b: str) -> Column:
+        return (100 + self.percent) * inter >= self.percent * (F.col(a) + F.col(b))
+
+
+def _measured(rows: DataFrame, sets: DataFrame, test: _Test) -> DataFrame:
+    """(hub, id, n, nh, inter, link, extras) of pairs (hub, id): their sets' intersection, whether they link, and id's shingles that the hub lacks."""
+    one = sets.select(F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("sig").alias("sh"), F.col("shingles").alias("xh"))
+    hubs = rows.select("hub").distinct()
+    one = one.join(hubs, "hub", "left_semi")
+    if (one.agg(F.sum("nh")).first()[0] or 0) <= BROADCAST_SHINGLES:
+        one = F.broadcast(one)  # counted: the members' sets are then shuffled once
+    both = rows.join(sets, "id").join(one, "hub").withColumn("same", _agreement("sig", "sh"))
+    extras = F.array_except("shingles", "xh")
+    both = both.select("hub", "id", "n", "nh", "same", extras.alias("extras")).withColumn("inter", F.col("n") - F.size("extras"))
+    link = (F.col("hub") != F.col("id")) & test.sized("n", "nh") & (F.col("same") >= test.least) & test.enough(F.col("inter"), "n", "nh")
+    return both.select("hub", "id", "n", "nh", "inter", link.alias("link"), "extras")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, test: _Test) -> DataFrame:
+    """Of pairs (a, b), those that link: by size and signature first, then on full sets."""
+    one = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    two = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    close = pairs.join(one, "a").join(two, "b").filter(test.sized("na", "nb"))
+    close = close.withColumn("same", _agreement("sa", "sb")).filter(F.col("same") >= test.least).select("a", "b", "na", "nb")
+    both = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
+    inter = F.size(F.array_intersect("xa", "xb")).cast("bigint")
+    return both.filter(test.enough(inter, "na", "nb")).select("a", "b")
+
+
+def _open_rows(measured: DataFrame, roots: DataFrame, test: _Test) -> DataFrame:
+    """(hub, id, n, inter, comp, extras, outer) of hubs whose classes lie in several components, without classes proven to have no link.
+
+    ``extras`` holds only what occurs in another class of the hub; ``outer`` marks classes outside the hub's largest component.
+    """
+    placed = measured.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
+    placed = materialize(placed.select("hub", "id", "n", "inter", "comp", "extras"), "placed")
+    parts = placed.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("c"))
+    whole = parts.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("big")).filter("k > 1").select("hub", "big")
+    items = placed.select("hub", "id", F.explode("extras").alias("item")).join(whole.select("hub"), "hub", "left_semi")
+    common = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("hub", "item")
+    shared = items.join(common, ["hub", "item"]).groupBy("hub", "id").agg(F.collect_list("item").alias("extras"))
+    rows = placed.select("hub", "id", "n", "inter", "comp").join(whole, "hub").join(shared, ["hub", "id"], "left")
+    rows = rows.withColumn("extras", F.coalesce("extras", F.array().cast("array<bigint>")))
+    able = 100 * (F.col("inter") + F.size("extras")) >= test.percent * F.col("n")
+    out = materialize(rows.filter(able).select("hub", "id", "n", "inter", "comp", "extras", (F.col("comp") != F.col("big")).alias("outer")), "open")
     discard(placed)
     return out
 
 
-def _cross_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a bucket, once each, the one outside a bucket's largest component first.
+def block_pairs(outer: pd.DataFrame, every: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in outer, in every) of the pairs of different components that could link, by the extras they have in common."""
+    na, nb, ia, ib = (f[c].to_numpy(np.int64) for c in ("n", "inter") for f in (outer, every))
+    mine, theirs = (np.concatenate([np.asarray(x, np.int64) for x in f["extras"]] or [np.zeros(0, np.int64)]) for f in (outer, every))
+    owner, holder = (np.repeat(np.arange(len(f)), [len(x) for x in f["extras"]]) for f in (outer, every))
+    order = np.argsort(theirs, kind="stable")
+    theirs, holder = theirs[order], holder[order]
+    low, high = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
+    many = high - low
+    common = np.zeros(len(na) * len(nb), np.int32)
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(mine):  # so many postings at once that memory stays bounded
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+        reach = np.repeat(low[at:to] - np.cumsum(many[at:to]) + many[at:to], many[at:to]) + np.arange(int(many[at:to].sum()))
+        places = np.repeat(owner[at:to] * len(nb), many[at:to]) + holder[reach]
+        common += np.bincount(places, minlength=len(common)).astype(np.int32) if len(places) * 4 > len(common) else _added(places, len(common))
+        at = to
+    bound = common.reshape(len(na), len(nb)) + np.minimum(ia[:, None], ib)
+    apart = outer["comp"].to_numpy()[:, None] != every["comp"].to_numpy()
+    sized = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
+    return np.nonzero(apart & sized & ((100 + percent) * bound >= percent * (na[:, None] + nb)))
+
+
+def _added(places: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int32)
+    np.add.at(out, places, 1)
+    return out
 
-    Two sets have at most m, the smaller of their counts of shingles that occur elsewhere, in common; pairs that could not
-    reach the threshold even so are not made. A pair may lie either way round in different buckets: it is one pair by lo, hi.
-    """
-    rest = mixed.filter(F.col("comp") != F.col("big")).select("bucket", F.col("fp").alias("a"), F.col("comp").alias("rc"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    m = F.least("ca", "c")
-    able = 100 * m >= percent * (F.col("na") + F.col("n") - m)
-    across = (F.col("comp") != F.col("rc")) & ((F.col("comp") == F.col("big")) | (F.col("a") < F.col("fp")))
-    pairs = rest.join(mixed, "bucket").filter(across & able).select(F.least("a", "fp").alias("lo"), F.greatest("a", "fp").alias("hi"), (F.col("a") < F.col("fp")).alias("up"))
-    once = pairs.groupBy("lo", "hi").agg(F.max("up").alias("up"))
-    return once.select(F.when(F.col("up"), F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("up"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of classes of one hub and different components that could link. ``rows`` are open rows."""
+    many = lambda count, extras: F.greatest(F.ceil(count / BLOCK_CLASSES), F.ceil(extras / BLOCK_EXTRAS), F.lit(1)).cast("int")
+    size = F.size("extras").cast("bigint")
+    sums = rows.groupBy("hub").agg(F.count_if("outer").alias("no"), F.sum(F.when(F.col("outer"), size).otherwise(0)).alias("eo"), F.count(F.lit(1)).alias("ne"), F.sum(size).alias("ee"))
+    sums = sums.filter("no > 0").select("hub", many(F.col("no"), F.col("eo")).alias("bo"), many(F.col("ne"), F.col("ee")).alias("be"))
+    dealt = rows.join(sums, "hub")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = ["id", "n", "inter", "comp", "extras"]
+    outer = dealt.filter("outer").select("hub", own("bo").alias("i"), each("be").alias("j"), *held)
+    every = dealt.select("hub", each("bo").alias("i"), own("be").alias("j"), *held).toDF("hub", "i", "j", *held)
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs that were not tested in either order."""
-    key = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
-    return pairs.select("a", "b", *key).join(tested.select(*key), ["lo", "hi"], "left_anti").select("a", "b")
+    def run(left, right):
+        i, j = block_pairs(left, right, percent) if len(left) and len(right) else (np.zeros(0, int), np.zeros(0, int))
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
+    return outer.groupBy("hub", "i", "j").cogroup(every.groupBy("hub", "i", "j")).applyInPandas(run, "a bigint, b bigint").distinct()
 
-def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leaders: int = 8, rounds: int = 3) -> DataFrame:
+
+def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leaders: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, tkey (hash of the text) for every row of ``df``."""
+    test = _Test(percent, bands * rows)
     marked = materialize(signatures(df, words, bands, rows), "signatures")
-    full = marked.filter("n_shingles > 0")
-    least = full.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("m"))
-    same = full.dropDuplicates(["fp"]).select("fp", "n_shingles", "sig", "bands")
-    classes = materialize(same.join(least, "fp").select("fp", F.col("m.doc_id").alias("doc_id"), F.col("m.tkey").alias("tkey"), "n_shingles", "sig", "bands"), "classes")
-    rows_of = classes.select("fp", F.explode("bands").alias("bucket"))
-    shared = rows_of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    multi = materialize(rows_of.join(shared, "bucket"), "buckets")
-    confirm = _Confirm(df, classes, words, percent, bands * rows)
-
-    tested = materialize(_leader_pairs(multi, leaders, 0), "pairs")
-    links = confirm.links(tested)
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    first = _mixed(multi, roots)
-    discard(multi, links)
-    sets = confirm.sets(first.select("fp").distinct())
-    multi = materialize(first.select("bucket", "fp").join(confirm.linkable(sets), "fp"), "buckets")
-    discard(first)
-    for k in range(1, rounds + 1):
-        mixed = _mixed(multi, roots)
-        size, cross = mixed.agg(F.count(F.lit(1)), F.sum("cross")).first()
-        last = k == rounds or (cross or 0) <= 20 * size
-        pairs = _cross_pairs(mixed, percent) if last else _leader_pairs(mixed.select("bucket", "fp"), leaders, 100 * k)
-        pairs = materialize(_untested(pairs, tested), "pairs")
-        more = confirm.links(pairs, sets)
-        if more.limit(1).count():
-            edges = plain_union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")), more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            roots = components(edges)
-        discard(mixed, more)
-        if last:
-            break
-        tested = plain_union(tested, pairs)
-
-    discard(sets, multi)
+    classes = materialize(_classes(marked), "classes")
+    places = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    multi = materialize(places.join(shared, "bucket"), "buckets")
+    pairs = materialize(_hub_rows(multi, leaders), "hubs")
+    discard(multi)
+    sets = materialize(_sets(df, classes.select("tkey", "dkey", "id", "n", "sig").join(pairs.select("id").distinct(), "id", "left_semi"), words), "sets")
+    measured = materialize(_measured(pairs, sets, test), "measured")
+    roots = components(measured.filter("link").select(F.col("hub").alias("u"), F.col("id").alias("v")))
+    open_ = _open_rows(measured, roots, test)
+    more = materialize(_confirmed(materialize(_block_pairs(open_, percent), "pairs"), classes, sets, test), "links")
+    if more.limit(1).count():
+        roots = components(plain_union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")), more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    discard(pairs, sets, measured, open_, more)
+
     # the smallest doc_id of each component, by class; then every row takes that of its class
-    linked = classes.select("fp", "doc_id").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    linked = classes.select("id", "fp", "doc_id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("fp", "doc_id", F.coalesce("root", "id").alias("root"))
     linked = materialize(linked, "roots")
     smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = linked.join(smallest, "root").select("fp", "component_id")
@@ -268,6 +299,7 @@ def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
 
 def representatives(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that stay: of each group those of the smallest doc_id."""
-    kept = groups(df, **options).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).distinct()
-    keyed = df.withColumn("_own", F.xxhash64("text"))
-    return keyed.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_tkey")), "left_semi").drop("_own")
+    own, doc, key = free_names(df, 3)
+    kept = groups(df, **options).filter("kept").select(F.col("doc_id").alias(doc), F.col("tkey").alias(key)).distinct()
+    keyed = df.withColumn(own, F.xxhash64("text"))
+    return keyed.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_semi").drop(own)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,13 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession.sparkContext._jvm.System.gc()  # Spark drops shuffle files when their plans are collected
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"_{i}" for i in itertools.count())
+    return list(itertools.islice((x for x in names if x not in taken), n))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

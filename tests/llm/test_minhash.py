@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+
 from palimpsest.llm import components, minhash
 
 
@@ -56,11 +59,31 @@ def test_groups_against_all_pairs(spark):
     assert minhash.groups(df.limit(0)).count() == 0
 
 
-def test_many_leaders_then_all_pairs(spark):
+def test_several_leaders_and_small_blocks(spark, monkeypatch):
     rows = list(enumerate(near(5, 150)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.groups(df, words=2, leaders=1, rounds=2).collect())
-    assert got == sorted(brute(rows, 2))
+    for leaders, classes, extras in ((1, 1024, 1 << 20), (3, 7, 50)):
+        monkeypatch.setattr(minhash, "BLOCK_CLASSES", classes)
+        monkeypatch.setattr(minhash, "BLOCK_EXTRAS", extras)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.groups(df, words=2, leaders=leaders).collect())
+        assert got == sorted(brute(rows, 2))
+
+
+def test_very_long_texts(spark):
+    """Sets longer than a block of hashes come in parts; a long near copy is still found."""
+    rnd = random.Random(3)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(90_000)]
+    other = [w if i % 40 else "changed" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(reversed(long))), (4, "short text")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.groups(df, words=2).collect()) == sorted(brute(rows, 2))
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["_0", "_1", "_2", "_doc", "_tkey", "_own", "tkey", "fp", "ID", "hub"]
+    df = spark.createDataFrame([(i, t, *[f"{i}{n}" for n in names]) for i, t in enumerate(near(1, 12))], f"doc_id bigint, text string, {', '.join(f'{n} string' for n in names)}")
+    kept = minhash.representatives(df, words=2)
+    assert kept.columns == df.columns and all(r[n] == f"{r.doc_id}{n}" for r in kept.collect() for n in names)
 
 
 def test_links_of_one_common_bucket(spark):
@@ -76,16 +99,31 @@ def test_links_of_one_common_bucket(spark):
                 old, new = component[i], component[j]
                 component = {d: new if c == old else c for d, c in component.items()}
     want = {d: min(e for e in component if component[e] == c) for d, c in component.items()}
-    got = minhash.groups(df, words=2, bands=4, leaders=1, rounds=1).collect()
+    got = minhash.groups(df, words=2, bands=4).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_cross_pairs_by_one_bucket_or_either_way(spark):
-    """p and q share one bucket; r and s share two, each once in the bucket's largest component."""
-    rows = [(1, "p", "p", "q"), (1, "q", "q", "q"), (2, "r", "r", "s"), (2, "s", "s", "s"), (3, "r", "r", "r"), (3, "s", "s", "r")]
-    mixed = spark.createDataFrame([(b, f.encode(), c.encode(), g.encode(), 10, 10) for b, f, c, g in rows], "bucket bigint, fp binary, comp binary, big binary, n bigint, c bigint")
-    got = sorted(tuple(sorted((bytes(r.a), bytes(r.b)))) for r in minhash._cross_pairs(mixed, 80).collect())
-    assert got == [(b"p", b"q"), (b"r", b"s")]
+def test_block_pairs_lose_no_link():
+    """All pairs of different components that link stay; what leaves can't link by its count of common shingles."""
+    rng = np.random.default_rng(5)
+    hub = set(range(60))
+    sets = [(hub - set(rng.choice(60, rng.integers(0, 16), False).tolist())) | {int(x) for x in rng.integers(100, 130, rng.integers(0, 16))} for _ in range(90)]
+    comp = rng.integers(0, 4, len(sets))
+    frame = pd.DataFrame({"id": range(len(sets)), "n": [len(s) for s in sets], "inter": [len(s & hub) for s in sets], "comp": comp, "extras": [np.array(sorted(s - hub)) for s in sets]})
+    outer = frame[frame["comp"] > 0].reset_index(drop=True)
+    a, b = minhash.block_pairs(outer, frame, 80)
+    got = set(zip(outer["id"].to_numpy()[a].tolist(), b.tolist(), strict=True))
+    for i in outer["id"]:
+        for j in range(len(sets)):
+            o = len(sets[i] & sets[j])
+            if comp[i] != comp[j] and 100 * o >= 80 * len(sets[i] | sets[j]):
+                assert (i, j) in got
+    for i, j in got:
+        bound = len((sets[i] & sets[j]) - hub) + min(len(sets[i] & hub), len(sets[j] & hub))
+        assert comp[i] != comp[j] and 180 * bound >= 80 * (len(sets[i]) + len(sets[j]))
+    assert 0 < len(got) < len(outer) * len(frame)
+    none = minhash.block_pairs(outer.head(0), frame, 80)
+    assert len(none[0]) == len(none[1]) == 0
 
 
 def test_components(spark):
