@@ -1,8 +1,11 @@
 """Archives, top-k, packing, toxicity and the pipeline: against plain versions, on small tables with odd rows."""
 
 import hashlib
+import math
+import operator
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -35,25 +38,51 @@ def test_archives(spark):
     assert list(warc.unpack_file(warc.pack_file(records))) == records and list(warc.unpack_file(warc.pack_file([]))) == []
 
 
+def plain_top(rows, k, scale):
+    """Exact integers; of a repeated query id the smallest vector asks; scores are given as the nearest long."""
+    fine = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    wholes = [(i, [math.floor(Fraction(float(x)) * scale) for x in v]) for i, v in fine]
+    want = []
+    for i in sorted({i for i, _ in fine if i % 50 == 0}):
+        _, q = min((v, w) for (j, v), (_, w) in zip(fine, wholes, strict=True) if j == i)
+        scored = sorted((-sum(map(operator.mul, q, w)), j) for j, w in wholes if j != i and len(w) == len(q))
+        want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scored[:k])]
+    return sorted(want)
+
+
+def top_rows(df, *options):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0, *options).collect())
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [rng.normal(0, 0.2, 16).astype("float32").tolist() for _ in range(300)]
     vectors[7] = vectors[8] = vectors[9] = vectors[50]
-    rows = list(enumerate(vectors)) + [(300, None), (301, []), (350, [float("nan")] * 16), (351, [None] * 16), (400, [1.0, 2.0]), (401, [0.5, -1.0]), (None, vectors[0]), (50, vectors[50]), (402, [1e30, 1.0])]
+    rows = list(enumerate(vectors)) + [(300, None), (301, []), (350, [float("nan")] * 16), (351, [None] * 16), (400, [1.0, 2.0]), (401, [0.5, -1.0]), (None, vectors[0]), (50, vectors[50]), (402, [3.0e5, 1.0]), (450, []), (50, vectors[51])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1))
     con = duckdb.connect()
     con.register("embeddings", df.drop("score").toPandas())
     for k, scale, blocks in ((5, 256, (64, 2)), (3, 256, (8192, 512))):
-        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0, k, scale, *blocks).collect())
-        q = {i: np.floor(scale * np.array(v, "float32").astype(float)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) < 1e5 for x in v)}
-        want = []
-        for i in [i for i in q if i % 50 == 0]:
-            scored = sorted((-int(q[i] @ q[j]), j) for j in q if j != i and len(q[j]) == len(q[i]))
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
-        assert got == sorted(want)
+        assert top_rows(df, k, scale, *blocks) == plain_top(rows, k, scale)
+    assert sorted(con.sql(topk.SEARCH_SQL.format(embeddings="embeddings")).select("query_id, rank, vec_id, score").fetchall()) == plain_top(rows, 5, 256)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_any_finite_size(spark):
+    rows = [(0, [1.0, 1.0]), (1, [300000.0, 1.0]), (2, [0.5, 0.5]), (100, [1.0, 2.0]), (100, [2.0, 1.0]), (3, [1e30, 1.0]), (4, [1e30, -1.0]), (5, [-1e30, 3.0]), (6, [1e300, 1e-300]), (150, [1e30, 1e30]), (200, [-1e308, 1.7e308]), (250, [0.0, 0.0])]
+    rows += [(1000 + i, [float(x), float(y)]) for i, (x, y) in enumerate(np.random.default_rng(1).normal(0, 1e20, (200, 2)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for blocks in ((8192, 512), (16, 3)):
+        assert top_rows(df, 5, 256, *blocks) == plain_top(rows, 5, 256)
+
+
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 3, 5000).tolist()) for i in range(0, 120, 10)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert top_rows(df, 5, 256) == plain_top([(i, [float(256 * x) / 256 for x in v]) for i, v in rows], 5, 256)
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(3)
     for n in (0, 1, 40, 3000):
