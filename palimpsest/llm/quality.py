@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.runtime import materialize
+from palimpsest.llm.runtime import free_names, materialize
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Verdicts of so many hosts at most are broadcast (a name and a flag each).
@@ -54,21 +54,23 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(body, "[ \\t-\\r]+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     kept = [c for c in df.columns if c not in {*COUNTS, "base_failed"}]
-    step = df.select(*kept, words.alias("_words"), lines.alias("_lines"), F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"))
+    w, x, g = free_names(df, 3)
+    step = df.select(*kept, words.alias(w), lines.alias(x), F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"))
+    windows = F.greatest(F.size(w) - 2, F.lit(0))
     grams = F.zip_with(
-        F.zip_with(F.slice(F.col("_words"), 1, F.greatest(F.size("_words") - 2, F.lit(0))), F.slice(F.col("_words"), 2, F.greatest(F.size("_words") - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)),
-        F.slice(F.col("_words"), 3, F.greatest(F.size("_words") - 2, F.lit(0))),
+        F.zip_with(F.slice(F.col(w), F.lit(1), windows), F.slice(F.col(w), F.lit(2), windows), lambda a, b: F.concat(a, F.lit(" "), b)),
+        F.slice(F.col(w), F.lit(3), windows),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
     step = step.select(
         *kept,
-        F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        F.size(w).cast("bigint").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        grams.alias("_grams"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+        grams.alias(g),
     )
-    step = step.select(*kept, *COUNTS[:4], _repeat_words(F.col("_grams")).alias("n_repeat_words"))
+    step = step.select(*kept, *COUNTS[:4], _repeat_words(F.col(g)).alias("n_repeat_words"))
     return step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -106,15 +108,16 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", host_limit: f
     counted, and up to BROADCAST_HOSTS of them are broadcast, so that a hot host's documents stay where they are; beyond
     that the join is a shuffle whose hot hosts adaptive execution splits.
     """
-    drop = {*COUNTS, "base_failed", "kept", "rejected", "_host"}
+    drop = {*COUNTS, "base_failed", "kept"}
     columns = [c for c in df.columns if c not in drop and (keep_text or c != text)]
     wanted = df.select(*dict.fromkeys([*columns, text, host]))
     scored = materialize(counts(wanted, text).select(*dict.fromkeys([*columns, host]), *COUNTS, "base_failed"), "quality")
-    verdicts = materialize(host_verdicts(scored, host, host_limit).select(F.col("host").alias("_host"), "rejected"), "verdicts")
+    name, rejected = free_names(scored, 2)
+    verdicts = materialize(host_verdicts(scored, host, host_limit).select(F.col("host").alias(name), F.col("rejected").alias(rejected)), "verdicts")
     if verdicts.count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
-    joined = scored.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(verdicts, "_host")
-    return joined.select(*columns, *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"))
+    joined = scored.join(verdicts, F.coalesce(scored[host], F.lit("")) == F.col(name))
+    return joined.select(*columns, *COUNTS, "base_failed", (~F.col("base_failed") & ~F.col(rejected)).alias("kept"))
 
 
 JUDGE_SQL = r"""
