@@ -1,13 +1,23 @@
-"""A cuckoo filter over 128-bit keys, with bulk insertion: 16-bit fingerprints, four to a bucket, deletable."""
+"""A cuckoo filter over 128-bit keys, with bulk insertion: 16-bit fingerprints, four to a bucket, deletable.
+
+Keys of a filter are distinct (a key inserted twice takes two places and must be deleted twice); a filter without keys
+holds none. A key that was never inserted is found once in some ten thousand times.
+"""
 
 from __future__ import annotations
 
 import struct
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from palimpsest.llm.runtime import scratch_dir, write_file
 from palimpsest.llm.textops import mix
 
+#: Keys to a shard of a filter, on average.
+SHARD_KEYS = 200_000
+
 SLOTS = 4
 _HEAD = struct.Struct("<4sI")
 _MAGIC = b"CKO1"
@@ -90,3 +100,22 @@ class CuckooFilter:
         if magic != _MAGIC:
             raise ValueError("not a cuckoo filter")
         return cls(np.frombuffer(data, "<u2", offset=_HEAD.size).reshape(buckets, SLOTS).copy())
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod("high", F.lit(shards)).cast("int")
+
+
+def written_filters(keys: DataFrame, shards: int) -> tuple[tuple[str | None, int], ...]:
+    """(path, bytes) of a filter for each shard of the distinct ``keys`` (high, low); a shard without keys has none."""
+    folder = scratch_dir(keys.sparkSession, "filters")
+
+    def run(key, frame):
+        import pandas as pd
+
+        data = CuckooFilter.of(frame["high"].to_numpy(), frame["low"].to_numpy()).to_bytes()
+        return pd.DataFrame({"shard": [key[0]], "path": [write_file(folder, f"filter-{key[0]:06d}", data)], "size": [len(data)]})
+
+    made = keys.select("high", "low", shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(run, "shard int, path string, size bigint")
+    found = {r.shard: (r.path, r.size) for r in made.collect()}  # one short row a shard
+    return tuple(found.get(k, (None, 0)) for k in range(shards))

@@ -29,13 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.cuckoo import CuckooFilter
+from palimpsest.llm.cuckoo import SHARD_KEYS, CuckooFilter, shard_of, written_filters
 from palimpsest.llm.runtime import chunks, free_names, materialize, read_file, scratch_dir, shuffle_partitions, write_file
 from palimpsest.session import plain_union
 
 WHITE = b" \t\n\x0b\x0c\r"
-#: Keys to a shard of the filter, on average.
-SHARD_KEYS = 200_000
 #: Generations that are kept apart.
 GENERATIONS = 8
 
@@ -70,10 +68,6 @@ def postings_of(df: DataFrame, min_length: int) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "high bigint, low bigint, doc_id bigint")
 
 
-def _shard(shards: int) -> Column:
-    return F.pmod("high", F.lit(shards)).cast("int")
-
-
 @functools.lru_cache(maxsize=4)
 def _filter(path: str) -> CuckooFilter:
     return CuckooFilter.from_bytes(read_file(path))
@@ -132,7 +126,7 @@ class LineIndex:
 
     def _with_filters(self) -> LineIndex:
         n = self.repeated().count()
-        return replace(self, filters=_build_filters(self.repeated(), max(1, -(-n // SHARD_KEYS))))
+        return replace(self, filters=written_filters(self.repeated(), max(1, -(-n // SHARD_KEYS))))
 
     def add(self, df: DataFrame) -> LineIndex:
         """Insert documents: their keys' counts grow; keys that become repeated enter the filters."""
@@ -184,7 +178,7 @@ class LineIndex:
                         seen[mine] = _filter(paths[k]).contains(high[mine], low[mine])
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(seen)) for c in batch.columns[:3]], names=["high", "low", "doc_id"])
 
-        asked = postings_of(df, self.min_length).withColumn("shard", _shard(len(paths)))
+        asked = postings_of(df, self.min_length).withColumn("shard", shard_of(len(paths)))
         dealt = asked.repartition(parts, "shard", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).sortWithinPartitions("shard")
         return dealt.mapInArrow(run, "high bigint, low bigint, doc_id bigint")
 
@@ -254,20 +248,6 @@ def _kept(body: str, gone: list[dict], min_length: int) -> tuple[bytes, int, int
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def _build_filters(repeated: DataFrame, shards: int) -> tuple[tuple[str | None, int], ...]:
-    folder = scratch_dir(repeated.sparkSession, "filters")
-
-    def run(key, frame):
-        import pandas as pd
-
-        data = CuckooFilter.of(frame["high"].to_numpy(), frame["low"].to_numpy()).to_bytes()
-        return pd.DataFrame({"shard": [key[0]], "path": [write_file(folder, f"filter-{key[0]:06d}", data)], "size": [len(data)]})
-
-    made = repeated.select("high", "low", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(run, "shard int, path string, size bigint")
-    found = {r.shard: (r.path, r.size) for r in made.collect()}  # one short row a shard
-    return tuple(found.get(k, (None, 0)) for k in range(shards))
-
-
 def _update_filters(changed: DataFrame, repeated: DataFrame, filters: tuple, folder: str) -> tuple[tuple[str | None, int], ...]:
     """Filters after the changes; those that can't take their new keys are made anew from ``repeated``."""
     shards = len(filters)
@@ -285,10 +265,10 @@ def _update_filters(changed: DataFrame, repeated: DataFrame, filters: tuple, fol
         data = held.to_bytes()
         return pd.DataFrame({"shard": [key[0]], "path": [write_file(folder, f"filter-{key[0]:06d}", data)], "size": [len(data)]})
 
-    made = changed.select("high", "low", "come", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(run, "shard int, path string, size bigint")
+    made = changed.select("high", "low", "come", shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(run, "shard int, path string, size bigint")
     found = {r.shard: (r.path, r.size) for r in made.collect()}  # one short row a shard
     if full := [k for k, (path, _) in found.items() if path is None]:
-        anew = _build_filters(repeated.filter(_shard(shards).isin(full)), shards)
+        anew = written_filters(repeated.filter(shard_of(shards).isin(full)), shards)
         found |= {k: anew[k] for k in full}
     return tuple(found.get(k, old) for k, old in enumerate(filters))
 

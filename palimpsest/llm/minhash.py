@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.components import components
-from palimpsest.llm.runtime import chunks, discard, free_names, materialize, text_bytes
+from palimpsest.llm.cuckoo import SHARD_KEYS, CuckooFilter, written_filters
+from palimpsest.llm.runtime import chunks, discard, free_names, materialize, read_file, shuffle_partitions, text_bytes
 from palimpsest.llm.textops import mix, shingle_hashes, word_hashes
 from palimpsest.session import plain_union
 
@@ -46,6 +47,8 @@ from palimpsest.session import plain_union
 BROADCAST_SHINGLES = 4_000_000
 #: Classes, and extras, on either side of a block, on average.
 BLOCK_CLASSES, BLOCK_EXTRAS = 1024, 1 << 20
+#: Keys (of about 2.4 bytes each) that a filter read by every task may hold.
+FILTER_KEYS = 20_000_000
 #: Shingles hashed at once; 128 passes over this many stay in a core's cache.
 BLOCK = 1 << 16
 
@@ -135,15 +138,45 @@ def _classes(marked: DataFrame) -> DataFrame:
 
 
 def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, n, sig, shingles) of the classes in ``wanted`` (tkey, dkey, id, n, sig): one document of each is read again."""
+    """(id, n, sig, shingles) of the classes in ``wanted`` (tkey, dkey, id, n, sig; written): one document of each is read again.
+
+    Tasks pass over texts that a filter of the wanted keys does not hold, so only wanted sets are shuffled. Beyond
+    FILTER_KEYS keys the filter would be too large to be read by every task; texts then meet the keys in a join first.
+    """
 
     def run(batches):
         for batch in chunks(batches, "text"):
-            sets = shingle_hashes(*word_hashes(*text_bytes(batch.column(3))), words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "sig", "shingles"])
-
-    texts = _keyed(df).select("tkey", "dkey", "text").join(wanted, ["tkey", "dkey"]).dropDuplicates(["tkey", "dkey"])
-    return texts.select("id", "n", "sig", "text").mapInArrow(run, "id bigint, n bigint, sig binary, shingles array<bigint>")
+            if filters:
+                batch = batch.filter(pa.array(_wanted(filters, *(np.asarray(batch.column(c)) for c in (0, 1)))))
+            if batch.num_rows:
+                sets = shingle_hashes(*word_hashes(*text_bytes(batch.column(2))), words)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["tkey", "dkey", "shingles"])
+
+    keys = ["tkey", "dkey"]
+    texts = _keyed(df).select("tkey", "dkey", "text")
+    n = wanted.count()
+    filters = written_filters(wanted.select(F.col("tkey").alias("high"), F.col("dkey").alias("low")), max(1, -(-n // SHARD_KEYS))) if n <= FILTER_KEYS else ()
+    filters = [path for path, _ in filters]
+    if not filters:
+        texts = texts.join(wanted.select(*keys), keys, "left_semi")
+    found = texts.mapInArrow(run, "tkey bigint, dkey bigint, shingles array<bigint>")
+    return found.join(wanted, keys).select("id", "n", "sig", "shingles").dropDuplicates(["id"])
+
+
+@functools.lru_cache(maxsize=2)
+def _read_filters(paths: tuple) -> list[CuckooFilter | None]:
+    return [None if path is None else CuckooFilter.from_bytes(read_file(path)) for path in paths]
+
+
+def _wanted(paths: list[str | None], high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    held = _read_filters(tuple(paths))
+    shard = np.mod(high, len(held))
+    out = np.zeros(len(high), bool)
+    for k, own in enumerate(held):
+        mine = np.flatnonzero(shard == k)
+        if own is not None and len(mine):
+            out[mine] = own.contains(high[mine], low[mine])
+    return out
 
 
 def _hub_rows(multi: DataFrame, leaders: int) -> DataFrame:
@@ -218,10 +251,12 @@ def _open_rows(measured: DataFrame, roots: DataFrame, test: _Test) -> DataFrame:
 
 
 def block_pairs(outer: pd.DataFrame, every: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in outer, in every) of the pairs of different components that could link, by the extras they have in common."""
+    """Places (in outer, in every) of the pairs of one hub and different components that could link, by the extras they have in common."""
     na, nb, ia, ib = (f[c].to_numpy(np.int64) for c in ("n", "inter") for f in (outer, every))
-    mine, theirs = (np.concatenate([np.asarray(x, np.int64) for x in f["extras"]] or [np.zeros(0, np.int64)]) for f in (outer, every))
     owner, holder = (np.repeat(np.arange(len(f)), [len(x) for x in f["extras"]]) for f in (outer, every))
+    mine, theirs = (np.concatenate([np.asarray(x, np.int64) for x in f["extras"]] or [np.zeros(0, np.int64)]) for f in (outer, every))
+    ha, hb = (f["hub"].to_numpy(np.int64) for f in (outer, every))
+    mine, theirs = (mix(x.view(np.uint64) + mix(h[o].view(np.uint64))) for x, h, o in ((mine, ha, owner), (theirs, hb, holder)))
     order = np.argsort(theirs, kind="stable")
     theirs, holder = theirs[order], holder[order]
     low, high = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
@@ -236,7 +271,7 @@ def block_pairs(outer: pd.DataFrame, every: pd.DataFrame, percent: int) -> tuple
         common += np.bincount(places, minlength=len(common)).astype(np.int32) if len(places) * 4 > len(common) else _added(places, len(common))
         at = to
     bound = common.reshape(len(na), len(nb)) + np.minimum(ia[:, None], ib)
-    apart = outer["comp"].to_numpy()[:, None] != every["comp"].to_numpy()
+    apart = (outer["comp"].to_numpy()[:, None] != every["comp"].to_numpy()) & (ha[:, None] == hb)
     sized = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
     return np.nonzero(apart & sized & ((100 + percent) * bound >= percent * (na[:, None] + nb)))
 
@@ -248,24 +283,31 @@ def _added(places: np.ndarray, size: int) -> np.ndarray:
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of classes of one hub and different components that could link. ``rows`` are open rows."""
+    """(a, b), a < b: pairs of classes of one hub and different components that could link. ``rows`` are open rows, written.
+
+    A large hub's rows are dealt to blocks, and each block of outer ones meets each block of all; small hubs share blocks.
+    """
     many = lambda count, extras: F.greatest(F.ceil(count / BLOCK_CLASSES), F.ceil(extras / BLOCK_EXTRAS), F.lit(1)).cast("int")
     size = F.size("extras").cast("bigint")
     sums = rows.groupBy("hub").agg(F.count_if("outer").alias("no"), F.sum(F.when(F.col("outer"), size).otherwise(0)).alias("eo"), F.count(F.lit(1)).alias("ne"), F.sum(size).alias("ee"))
+    shared = max(1, -(-rows.count() // (BLOCK_CLASSES // 2 or 1)))
     sums = sums.filter("no > 0").select("hub", many(F.col("no"), F.col("eo")).alias("bo"), many(F.col("ne"), F.col("ee")).alias("be"))
-    dealt = rows.join(sums, "hub")
+    small = (F.col("bo") == 1) & (F.col("be") == 1)
+    dealt = rows.join(sums.withColumn("g", F.when(small, -1 - F.pmod(F.xxhash64("hub"), F.lit(shared))).otherwise(F.col("hub"))), "hub")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = ["id", "n", "inter", "comp", "extras"]
-    outer = dealt.filter("outer").select("hub", own("bo").alias("i"), each("be").alias("j"), *held)
-    every = dealt.select("hub", each("bo").alias("i"), own("be").alias("j"), *held).toDF("hub", "i", "j", *held)
+    held = ["hub", "id", "n", "inter", "comp", "extras"]
+    outer = dealt.filter("outer").select("g", own("bo").alias("i"), each("be").alias("j"), *held)
+    every = dealt.select("g", each("bo").alias("i"), own("be").alias("j"), *held).toDF("g", "i", "j", *held)
 
     def run(left, right):
         i, j = block_pairs(left, right, percent) if len(left) and len(right) else (np.zeros(0, int), np.zeros(0, int))
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return outer.groupBy("hub", "i", "j").cogroup(every.groupBy("hub", "i", "j")).applyInPandas(run, "a bigint, b bigint").distinct()
+    parts = shuffle_partitions(rows.sparkSession)  # few bytes but much work: not to be gathered into few tasks
+    outer, every = (x.repartition(parts, "g", "i", "j").groupBy("g", "i", "j") for x in (outer, every))
+    return outer.cogroup(every).applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leaders: int = 1) -> DataFrame:
@@ -278,14 +320,15 @@ def groups(df: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, ro
     multi = materialize(places.join(shared, "bucket"), "buckets")
     pairs = materialize(_hub_rows(multi, leaders), "hubs")
     discard(multi)
-    sets = materialize(_sets(df, classes.select("tkey", "dkey", "id", "n", "sig").join(pairs.select("id").distinct(), "id", "left_semi"), words), "sets")
+    wanted = materialize(classes.select("tkey", "dkey", "id", "n", "sig").join(pairs.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = materialize(_sets(df, wanted, words), "sets")
     measured = materialize(_measured(pairs, sets, test), "measured")
     roots = components(measured.filter("link").select(F.col("hub").alias("u"), F.col("id").alias("v")))
     open_ = _open_rows(measured, roots, test)
     more = materialize(_confirmed(materialize(_block_pairs(open_, percent), "pairs"), classes, sets, test), "links")
     if more.limit(1).count():
         roots = components(plain_union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")), more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    discard(pairs, sets, measured, open_, more)
+    discard(pairs, wanted, sets, measured, open_, more)
 
     # the smallest doc_id of each component, by class; then every row takes that of its class
     linked = classes.select("id", "fp", "doc_id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("fp", "doc_id", F.coalesce("root", "id").alias("root"))

@@ -69,6 +69,15 @@ def test_several_leaders_and_small_blocks(spark, monkeypatch):
         assert got == sorted(brute(rows, 2))
 
 
+def test_more_keys_than_a_filter_holds(spark, monkeypatch):
+    rows = list(enumerate(near(5, 60)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for keys, shard in ((1, 200_000), (1000, 7)):
+        monkeypatch.setattr(minhash, "FILTER_KEYS", keys)
+        monkeypatch.setattr(minhash, "SHARD_KEYS", shard)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.groups(df, words=2).collect()) == sorted(brute(rows, 2))
+
+
 def test_very_long_texts(spark):
     """Sets longer than a block of hashes come in parts; a long near copy is still found."""
     rnd = random.Random(3)
@@ -109,7 +118,7 @@ def test_block_pairs_lose_no_link():
     hub = set(range(60))
     sets = [(hub - set(rng.choice(60, rng.integers(0, 16), False).tolist())) | {int(x) for x in rng.integers(100, 130, rng.integers(0, 16))} for _ in range(90)]
     comp = rng.integers(0, 4, len(sets))
-    frame = pd.DataFrame({"id": range(len(sets)), "n": [len(s) for s in sets], "inter": [len(s & hub) for s in sets], "comp": comp, "extras": [np.array(sorted(s - hub)) for s in sets]})
+    frame = pd.DataFrame({"hub": -7, "id": range(len(sets)), "n": [len(s) for s in sets], "inter": [len(s & hub) for s in sets], "comp": comp, "extras": [np.array(sorted(s - hub)) for s in sets]})
     outer = frame[frame["comp"] > 0].reset_index(drop=True)
     a, b = minhash.block_pairs(outer, frame, 80)
     got = set(zip(outer["id"].to_numpy()[a].tolist(), b.tolist(), strict=True))
