@@ -2,6 +2,8 @@
 
 Native: DataFrame functions only. A word is a maximal run of characters other than space and \\t \\n \\v \\f \\r.
 
+Windows of three words are compared by 64-bit hashes; two different ones of a text agree once in 2**64.
+
 Host verdict: failures are counted by host; a beta prior is fitted to all hosts by moments (the rates' excess variance
 over a binomial's gives the prior's weight); a host's rate is shrunk towards the prior's mean, and hosts whose shrunken
 rate exceeds ``host_limit`` lose all their documents. A host of few documents stays near the mean, so it is never
@@ -25,52 +27,33 @@ BROADCAST_HOSTS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(grams: Column) -> Column:
-    """Words covered by windows that occur twice or more, from the windows in text order.
-
-    Windows are sorted together with their places; a window equal to a neighbour occurs twice. The places so found, in
-    order, cover three words each, less what the next one covers again.
-    """
-    ordered = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("p"))))
-    # neighbours share a window: compare each with the one before and the one after
-    shifted = F.zip_with(
-        F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.struct(a["p"].alias("p"), a["g"].alias("g"), F.coalesce(a["g"] == b["g"], F.lit(False)).alias("n"))),
-        F.concat(F.array(F.lit(None).cast("struct<g:string,p:int>")), ordered),
-        lambda a, b: F.struct(a["p"].alias("p"), (a["n"] | F.coalesce(a["g"] == b["g"], F.lit(False))).alias("dup")),
-    )
-    places = F.sort_array(F.transform(F.filter(shifted, lambda s: F.coalesce(s["dup"], F.lit(False))), lambda s: s["p"]))
-    total = F.aggregate(
-        places,
-        F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-3).alias("last")),
-        lambda acc, p: F.struct((acc["sum"] + F.least(F.lit(3), p - acc["last"])).alias("sum"), p.alias("last")),
-        lambda acc: acc["sum"],
-    )
-    return F.when(F.size(grams) == F.size(F.array_distinct(grams)), F.lit(0).cast("bigint")).otherwise(total)
-
-
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the five counts and base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, "[ \\t-\\r]+"), lambda w: w != "")
+    words = F.array_remove(F.split(body, "[ \\t-\\r]+"), "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     kept = [c for c in df.columns if c not in {*COUNTS, "base_failed"}]
-    w, x, g = free_names(df, 3)
+    w, x, windows, ordered, places = free_names(df, 5)
     step = df.select(*kept, words.alias(w), lines.alias(x), F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"))
-    windows = F.greatest(F.size(w) - 2, F.lit(0))
-    grams = F.zip_with(
-        F.zip_with(F.slice(F.col(w), F.lit(1), windows), F.slice(F.col(w), F.lit(2), windows), lambda a, b: F.concat(a, F.lit(" "), b)),
-        F.slice(F.col(w), F.lit(3), windows),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
+    hashed = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda v, i: F.xxhash64(v, F.get(w, i + 1), F.get(w, i + 2)))
     step = step.select(
         *kept,
         F.size(w).cast("bigint").alias("n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         "n_symbols",
         (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        grams.alias(g),
+        hashed.alias(windows),
     )
-    step = step.select(*kept, *COUNTS[:4], _repeat_words(F.col(g)).alias("n_repeat_words"))
+    # each of these steps uses the one before several times, so each is a projection of its own. Windows are sorted with their
+    # places only where some occur again; one equal to a neighbour occurs twice
+    again = F.size(windows) > F.size(F.array_distinct(windows))
+    step = step.select(*kept, *COUNTS[:4], F.when(again, F.sort_array(F.transform(windows, lambda g, i: F.struct(g.alias("g"), i.alias("p"))))).alias(ordered))
+    equal = F.filter(ordered, lambda s, i: s["g"].eqNullSafe(F.get(ordered, i - 1)["g"]) | s["g"].eqNullSafe(F.get(ordered, i + 1)["g"]))
+    step = step.select(*kept, *COUNTS[:4], F.sort_array(F.transform(equal, lambda s: s["p"])).alias(places))
+    # a window covers three words, less what the one before covers already
+    covers = F.transform(places, lambda p, i: F.least(F.lit(3), p - F.coalesce(F.get(places, i - 1), F.lit(-3))))
+    covered = F.aggregate(covers, F.lit(0).cast("bigint"), lambda total, n: total + n)
+    step = step.select(*kept, *COUNTS[:4], F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
     return step.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
