@@ -2,6 +2,9 @@
 
 Edges are pairs of nodes of one orderable type. Each half-step is an aggregation with map-side combine and a join on the
 same key; a hub's rows are split by adaptive execution. Every round is written to the shared folder.
+
+Contract for odd input: loops, repeated edges and edges with a null node are ignored; no edges give no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

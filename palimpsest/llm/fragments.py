@@ -2,12 +2,14 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never end up inside one token, so the text may be
 cut there. Fragments between cuts repeat a lot: each distinct fragment is encoded once by the tokenizers library, kept
-in a bounded memo, and the ids of a text are those of its fragments in a row.
+in a memo bounded by count and by bytes, and the ids of a text are those of its fragments in a row.
 
 For the cut to be certain the pre-tokenizer must also give the same pieces on both sides. A pair is therefore refused
  * if its left byte may end white space (the rule for trailing white space looks ahead),
  * if its right byte is an apostrophe (a contraction must see what stands before it),
  * if it lies inside an added token's own text or inside a character.
+
+A null text counts as empty and has no ids; a text without a cut is one fragment, whatever its length.
 """
 
 from __future__ import annotations
@@ -40,19 +42,20 @@ class FragmentEncoder:
     between an ASCII letter and ASCII punctuation.
     """
 
-    def __init__(self, path: str, kind: str = "byte", memo: int = 400_000):
+    def __init__(self, path: str, kind: str = "byte", memo: int = 400_000, memo_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind, self.limit = kind, memo
+        self.kind, self.limit, self.most = kind, memo, memo_bytes
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = self._byte_table() if kind == "byte" else self._word_table()
         self._clear()
 
     def _clear(self) -> None:
         self.memo: dict[bytes, int] = {}
+        self.held = 0
         self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32), 0
 
@@ -145,6 +148,7 @@ class FragmentEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.memo.update(zip(part, range(k, k + len(part)), strict=True))
+        self.held += sum(map(len, part))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids before each text) for texts given as UTF-8 bytes and offsets."""
@@ -153,8 +157,8 @@ class FragmentEncoder:
             return np.zeros(0, self.pool.dtype), np.zeros(len(offsets), np.int64)
         coded = pc.dictionary_encode(array)
         distinct = coded.dictionary.to_pylist()
-        if len(self.memo) + len(distinct) > self.limit and len(self.memo) > self.limit // 2:
-            self._clear()
+        if self.held > self.most or (len(self.memo) + len(distinct) > self.limit and len(self.memo) > self.limit // 2):
+            self._clear()  # what one call brings is bounded by its chunk of texts
         get = self.memo.get
         known = [get(x, -1) for x in distinct]
         new = [x for x, k in zip(distinct, known, strict=True) if k < 0]

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, line_dedup, minhash, packing, quality, token_counts, topk, toxicity, warc, wavelet
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _path(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a vocabulary file of the public tokenizers lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,13 +16,15 @@ CHUNK_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset (tests) it is a folder in the warehouse,
-    which is shared too, never a machine's own temporary folder.
+    Where that is unset and the master is local (tests), it is a folder in the warehouse. On a cluster no other folder is
+    known to be shared, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return root.rstrip("/")
 

@@ -1,6 +1,7 @@
 """Vectorised words, shingles and hashes over the bytes of many texts at once.
 
 A word is a maximal run of bytes other than space and \\t \\n \\v \\f \\r; upper-case A-Z count as lower case.
+Empty texts have no words; no function sees a null (``runtime.text_bytes`` makes it empty).
 """
 
 from __future__ import annotations
