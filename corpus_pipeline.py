@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the next stage's documents.
 All stages but the last return the columns of documents.
+
+Contract for odd input: a null text counts as empty in every stage and so fails the quality rules; of rows with equal doc_id
+each is judged by itself, and a group of near copies keeps all rows of its smallest doc_id that have the same text; a null
+source is the host ''; extra columns pass through all stages but the last, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
