@@ -43,8 +43,6 @@ from palimpsest.llm.runtime import chunks, discard, free_names, materialize, rea
 from palimpsest.llm.textops import mix, shingle_hashes, word_hashes
 from palimpsest.session import plain_union
 
-#: The sets of a pair's first sides are broadcast up to so many shingles of 8 bytes; beyond that both sides are shuffled.
-BROADCAST_SHINGLES = 4_000_000
 #: Classes, and extras, on either side of a block, on average.
 BLOCK_CLASSES, BLOCK_EXTRAS = 1024, 1 << 20
 #: Keys (of about 2.4 bytes each) that a filter read by every task may hold.
@@ -160,7 +158,7 @@ def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     if not filters:
         texts = texts.join(wanted.select(*keys), keys, "left_semi")
     found = texts.mapInArrow(run, "tkey bigint, dkey bigint, shingles array<bigint>")
-    return found.join(wanted, keys).select("id", "n", "sig", "shingles").dropDuplicates(["id"])
+    return found.join(wanted, keys).dropDuplicates(keys).select("id", "n", "sig", "shingles")
 
 
 @functools.lru_cache(maxsize=2)
@@ -208,10 +206,7 @@ class _Test:
 def _measured(rows: DataFrame, sets: DataFrame, test: _Test) -> DataFrame:
     """(hub, id, n, nh, inter, link, extras) of pairs (hub, id): their sets' intersection, whether they link, and id's shingles that the hub lacks."""
     one = sets.select(F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("sig").alias("sh"), F.col("shingles").alias("xh"))
-    hubs = rows.select("hub").distinct()
-    one = one.join(hubs, "hub", "left_semi")
-    if (one.agg(F.sum("nh")).first()[0] or 0) <= BROADCAST_SHINGLES:
-        one = F.broadcast(one)  # counted: the members' sets are then shuffled once
+    one = one.join(rows.select("hub").distinct(), "hub", "left_semi")
     both = rows.join(sets, "id").join(one, "hub").withColumn("same", _agreement("sig", "sh"))
     extras = F.array_except("shingles", "xh")
     both = both.select("hub", "id", "n", "nh", "same", extras.alias("extras")).withColumn("inter", F.col("n") - F.size("extras"))
