@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 #: Extensions and their kinds.
 EXTENSIONS = {
-    "txt": "text", "md": "text", "csv": "text", "json": "text", "html": "html", "htm": "html", "pdf": "pdf", "doc": "office", "docx": "office", "xls": "office", "xlsx": "office",
-    "ppt": "office", "pptx": "office", "eml": "email", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image", "mp3": "audio", "wav": "audio", "m4a": "audio", "mp4": "video", "mov": "video",
+    "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "tiff": "image", "tif": "image", "bmp": "image", "svg": "image",
+    "pdf": "pdf",
+    "mp3": "audio", "wav": "audio", "m4a": "audio", "amr": "audio", "aiff": "audio", "aac": "audio", "ogg": "audio", "flac": "audio",
+    "docx": "document", "pptx": "document", "xlsx": "document", "doc": "document", "ppt": "document", "xls": "document",
+    "pages": "document", "key": "document", "numbers": "document", "odt": "document", "ods": "document", "odp": "document", "rtf": "document",
+    "html": "html", "htm": "html", "eml": "email", "txt": "direct", "md": "direct", "vtt": "direct", "csv": "direct", "tsv": "direct",
 }
 #: MIME types and the extension they stand for.
 MIME = {

@@ -41,15 +41,16 @@ def numbered(ids: Column, texts: Column) -> Column:
     return F.array_join(F.zip_with(ids, texts, lambda i, t: F.concat(i.cast("string"), F.lit(": "), t)), "\n")
 
 
-def mask_account_numbers(text: Column, mask: str = "[number]") -> Column:
-    """Mask numbers of twelve digits or more, ASCII or fullwidth, with a single space or hyphen between digits at most."""
-    digit = "[0-9０-９]"
-    return F.regexp_replace(text, f"(?<!{digit}){digit}(?:[ -]?{digit}){{11,}}(?!{digit})", mask)
+#: Fixed value: twelve digits or more, ASCII or fullwidth, a single space or hyphen between two at most, and a trailing X.
+ACCOUNT_NUMBER = "(?<![0-9０-９])[0-9０-９](?:[ -]?[0-9０-９]){11,}[XxＸｘ]?(?![0-9０-９])"
+
+
+def mask_account_numbers(text: Column, mask: str = "***") -> Column:
+    return F.regexp_replace(text, ACCOUNT_NUMBER, mask)
 
 
 def has_account_number(text: Column) -> Column:
-    digit = "[0-9０-９]"
-    return text.rlike(f"{digit}(?:[ -]?{digit}){{11,}}")
+    return text.rlike(ACCOUNT_NUMBER)
 
 
 def tagged(tag: str, body: Column) -> Column:
@@ -132,28 +133,51 @@ def width_of(text: str) -> int:
 
 def bigram_overlap(a: str, b: str) -> float:
     """Share of the smaller set of character pairs that both texts have."""
-    x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (quote_fold(a), quote_fold(b)))
-    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+    x, y = ({s[i : i + 2] for i in range(len(s) - 1)} or {s} for s in (quote_fold(a), quote_fold(b)))
+    return len(x & y) / min(len(x), len(y))
+
+
+#: Blocks of Han characters, and of scripts that are written without spaces besides (kana, Hangul).
+HAN = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x10FFFF))
+SPACELESS = ((0x1100, 0x11FF), (0x3040, 0x30FF), (0x3130, 0x318F), (0xAC00, 0xD7AF))
+ELLIPSIS = r"…+|\.{3,}|⋯+"
+
+
+def _within(c: str, blocks: tuple[tuple[int, int], ...]) -> bool:
+    return any(low <= ord(c) <= high for low, high in blocks)
 
 
-def units_of(text: str) -> float:
-    """Length where a wide character counts 1 and any other a third."""
-    return sum(1.0 if unicodedata.east_asian_width(c) in "WF" else 1 / 3 for c in text)
+def units_of(folded: str) -> float:
+    """Length in Han characters: one of a script without spaces counts 1, any other character a third."""
+    wide = sum(_within(c, HAN) or _within(c, SPACELESS) for c in folded)
+    return wide + (len(folded) - wide) / 3
 
 
-def quote_found(quote: str, text: str, least: float = 6.0, piece: float = 4.0, share: float = 0.9) -> bool:
-    """True if a quote stands in a text: whole, in pieces around ellipses, or as a common run of most of it."""
-    q, t = quote_fold(quote), quote_fold(text)
+def units(folded: Column) -> Column:
+    """``units_of`` as a Column."""
+    blocks = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in (*HAN, *SPACELESS))
+    wide = F.length(F.regexp_replace(folded, f"[^{blocks}]", ""))
+    return wide + (F.length(folded) - wide) / 3
+
+
+def quote_place(quote: str, folded: list[str], least: float = 6.0, piece: float = 4.0, share: float = 0.9) -> int | None:
+    """The first of some folded texts that holds a quote: whole, else in all its pieces around ellipses, else as a common run of most of it.
+
+    Pieces too short to be looked for are left out, and with one piece left or none the common run decides.
+    """
+    q = quote_fold(quote)
     if units_of(q) < least:
-        return False
-    if q in t:
-        return True
-    pieces = [quote_fold(p) for p in re.split(r"\.{3,}|…+", quote)]
-    pieces = [p for p in pieces if p]
+        return None
+    pieces = [p for p in map(quote_fold, re.split(ELLIPSIS, quote)) if units_of(p) >= piece]
+    tests = [lambda t: q in t]
     if len(pieces) > 1:
-        return all(units_of(p) >= piece and p in t for p in pieces)
-    match = difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match()
-    return match.size >= share * len(q)
+        tests.append(lambda t: all(p in t for p in pieces))
+    tests.append(lambda t: difflib.SequenceMatcher(None, q, t, autojunk=False).find_longest_match().size >= share * len(q))
+    return next((i for test in tests for i, t in enumerate(folded) if test(t)), None)
+
+
+def quote_found(quote: str, text: str, **limits) -> bool:
+    return quote_place(quote, [quote_fold(text)], **limits) is not None
 
 
 def cut_summary(text: str, limit: int = 400) -> str:

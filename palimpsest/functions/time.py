@@ -47,7 +47,7 @@ def gap_label(before: Column, now: Column) -> Column:
     """The gap between two instants in words; units are always plural."""
     seconds = F.floor((now - before) / 1000)
     words = (
-        F.when(seconds < 0, F.lit("Messages out of order"))
+        F.when(seconds < 0, F.lit("Messages appear to be out of order"))
         .when(seconds < 60, F.concat(seconds.cast("string"), F.lit(" seconds (immediate response)")))
         .when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" minutes (recent conversation)")))
         .when(seconds < 86400, F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" hours (same day, but significant pause)")))

@@ -63,3 +63,13 @@ def truncate(text: Column, budget: int, head: float = 0.7, suffix: str | None =
         return s.map(lambda x: truncated(x, budget, head, suffix), na_action="ignore")
 
     return run(text)
+
+
+def truncate_to(text: str, budget: str, head: float = 0.7) -> Column:
+    """Column ``text`` truncated to the budget in column ``budget``."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else truncated(x, int(n), head) for x, n in zip(s, b, strict=True)], dtype="object")
+
+    return run(text, budget)

@@ -24,13 +24,28 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "line_no", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).filter(F.col("line") != "").withColumn("kind", _kind(F.col("line")))
 
 
+#: Lines between which everything is one block.
+MARKS = ("TABLE_START", "TABLE_END")
+
+
 def atoms(docs: DataFrame) -> DataFrame:
-    """doc_id, atom_id (dense, from 0), text, n_lines. Islands: a line joins the one before if both are of one kind and no blank line lies between."""
+    """doc_id, atom_id (dense, from 0), text, n_lines.
+
+    Islands: a line joins the one before if both are of one kind and no blank line lies between. Lines between two marks are one
+    block, blank lines left out; a mark opens only outside of a block and closes only inside; an open block ends with its text.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    new = (F.col("kind") == "line") | (F.lag("kind").over(w) != F.col("kind")) | (F.lag("line_no").over(w) != F.col("line_no") - 1) | F.lag("kind").over(w).isNull()
-    marked = lines(docs).withColumn("atom_id", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    held = marked.groupBy("doc_id", "atom_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    return held.select("doc_id", "atom_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"), F.size("ls").cast("bigint").alias("n_lines"))
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.col("line").isin(*MARKS), F.col("line"))
+    held = lines(docs).withColumn("_inside", F.coalesce(F.last(mark, ignorenulls=True).over(before) == MARKS[0], F.lit(False)))
+    opens, closes = (F.col("line") == MARKS[0]) & ~F.col("_inside"), (F.col("line") == MARKS[1]) & F.col("_inside")
+    held = held.withColumn("_block", F.when(F.col("_inside"), F.sum(opens.cast("int")).over(upto))).filter(~opens & ~closes)
+    held = held.withColumn("kind", F.when(F.col("_inside"), F.lit("marked")).otherwise(F.col("kind")))
+    apart = F.when(F.col("_inside"), ~F.lag("_block").over(w).eqNullSafe(F.col("_block"))).otherwise((F.col("kind") == "line") | (F.lag("line_no").over(w) != F.col("line_no") - 1))
+    new = apart | (F.lag("kind").over(w) != F.col("kind")) | F.lag("kind").over(w).isNull()
+    marked = held.withColumn("atom_id", F.sum(new.cast("int")).over(upto) - 1)
+    by = marked.groupBy("doc_id", "atom_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
+    return by.select("doc_id", "atom_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"), F.size("ls").cast("bigint").alias("n_lines"))
 
 
 def flatten(nodes: DataFrame) -> DataFrame:

@@ -97,25 +97,35 @@ def tool_groups(items: DataFrame) -> DataFrame:
 
 
 def skip_reasons(items: DataFrame, least_users: int = 2, least_messages: int = 5, least_tokens: int = 200) -> DataFrame:
-    """conv_id, reason: the first structural reason not to learn from a trajectory, null for none. items also has n_tokens.
+    """conv_id, reason, detail: the first structural reason not to learn from a trajectory, null for none. items also has n_tokens.
 
-    A trajectory that ends in a call still waits for its result. One without tools needs enough user turns, messages and assistant tokens.
+    Only items from the first user message on count. The last one must be an assistant's message: a trajectory that ends in
+    a call, a result or a user's turn is not closed. One without tools needs enough user turns, items and assistant tokens.
+    ``detail`` is the value that missed.
     """
-    by = items.groupBy("conv_id").agg(
-        F.bool_or(F.col("kind") != "text").alias("tools"),
-        F.max_by("kind", "pos").alias("last"),
-        F.max_by("role", "pos").alias("last_role"),
-        F.count_if((F.col("kind") == "text") & (F.col("role") == "user")).alias("users"),
-        F.count_if(F.col("kind") == "text").alias("messages"),
-        F.sum(F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)).alias("tokens"),
+    first = F.min(F.when((F.col("kind") == "text") & (F.col("role") == "user"), F.col("pos"))).over(Window.partitionBy("conv_id"))
+    chat, inside = F.col("kind") == "text", F.coalesce(F.col("pos") >= F.col("_first"), F.lit(False))
+    spoke = chat & (F.col("role") == "assistant")
+    label = F.when(chat, F.concat(F.lit("text:"), F.coalesce("role", F.lit("")))).otherwise(F.col("kind"))
+    by = items.withColumn("_first", first).groupBy("conv_id").agg(
+        F.count_if(inside).alias("n"),
+        F.bool_or(inside & ~chat).alias("tools"),
+        F.bool_or(inside & (spoke | (F.col("kind") == "tool_call"))).alias("answered"),
+        F.max_by(label, F.when(inside, F.col("pos"))).alias("last"),
+        F.count_if(inside & chat & (F.col("role") == "user")).alias("users"),
+        F.sum(F.when(inside & spoke, F.col("n_tokens")).otherwise(0)).alias("tokens"),
     )
     reason = (
-        F.when((F.col("last") == "tool_call") | (F.coalesce("last_role", F.lit("")) == "user"), "trajectory_open")
-        .when(~F.col("tools") & (F.col("users") < least_users), "too_few_user_turns")
-        .when(~F.col("tools") & (F.col("messages") < least_messages), "too_few_messages")
-        .when(~F.col("tools") & (F.col("tokens") < least_tokens), "too_few_tokens")
+        F.when(F.col("n") == 0, "no_messages_after_strip")
+        .when(~F.col("answered"), "no_assistant_message")
+        .when(F.col("last") != "text:assistant", "trajectory_not_closed")
+        .when(~F.col("tools") & (F.col("users") < least_users), "no_tool_single_user")
+        .when(~F.col("tools") & (F.col("n") < least_messages), "no_tool_too_few_messages")
+        .when(~F.col("tools") & (F.col("tokens") < least_tokens), "no_tool_assistant_too_short")
     )
-    return by.select("conv_id", reason.alias("reason"))
+    detail = F.when(reason == "trajectory_not_closed", F.col("last")).when(reason == "no_tool_single_user", F.col("users").cast("string"))
+    detail = detail.when(reason == "no_tool_too_few_messages", F.col("n").cast("string")).when(reason == "no_tool_assistant_too_short", F.col("tokens").cast("string"))
+    return by.select("conv_id", reason.alias("reason"), detail.alias("detail"))
 
 
 def greedy_batches(items: DataFrame, budget: int) -> DataFrame:

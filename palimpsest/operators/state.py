@@ -44,19 +44,19 @@ def fold_groups(df: DataFrame, key: str, order: list[str], step: Step, schema: s
 
 
 def boundary_step(state: dict, row: dict, messages: int = 50, tokens: int = 8192, bridge_over: int = 5) -> tuple[dict, list[dict]]:
-    """Close a segment by a hard limit, or by the model's reply in ``row['should_end']``.
+    """Close a segment by a hard limit that the held messages reach with the new one, or by the model's reply in ``row['should_end']``.
 
-    With fewer than two messages held nothing closes. A reply that ends a segment of more than ``bridge_over`` messages
-    carries the last one into the next segment. Outputs are the segments that closed, as [start, end).
+    With fewer than two messages held nothing closes. A segment of more than ``bridge_over`` messages that closes, for
+    either cause, carries its last one into the next segment. Outputs are the segments that closed, as [start, end).
     """
     held = state.get("n", 0)
     start, size, last = state.get("start", 0), state.get("tokens", 0), state.get("last", 0)
     pos, own = int(row["pos"]), int(row["n_tokens"])
     out = []
     if held >= 2:
-        limit = held >= messages or size >= tokens
+        limit = held + 1 >= messages or size + own >= tokens
         if limit or bool(row.get("should_end")):
-            bridge = not limit and held > bridge_over
+            bridge = held > bridge_over
             out.append({"conv_id": row["conv_id"], "start_pos": start, "end_pos": pos, "cause": "limit" if limit else "reply"})
             start, held, size = (pos - 1, 1, last) if bridge else (pos, 0, 0)
     if held == 0:

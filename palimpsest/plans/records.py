@@ -258,14 +258,14 @@ _MIMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in media.MIME.items())
 _ACC = "per AS (SELECT {keys} run, count(*) FILTER (label) / count(*) AS a, count(*) AS n FROM runs GROUP BY ALL), agg AS (SELECT {keys} avg(a) AS m, stddev_pop(a) AS s, max(n) AS n_questions, count(*) AS n_runs FROM per GROUP BY ALL) SELECT {keys} n_questions, n_runs, round(m, 6) AS mean_accuracy, round(s, 6) AS std_accuracy, round_even(round(m, 6) * n_questions, 0)::BIGINT AS n_correct FROM agg"
 
 ORACLE_SQL = {
-    "time_gap_labels": "WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms FROM events), g AS (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS b FROM e), s AS (SELECT *, floor((ms - b) / 1000)::BIGINT AS s FROM g) SELECT event_id, user_id, CASE WHEN b IS NULL OR b = 0 OR ms = 0 THEN 'No timestamp information available' ELSE 'Time gap: ' || CASE WHEN s < 0 THEN 'Messages out of order' WHEN s < 60 THEN s || ' seconds (immediate response)' WHEN s < 3600 THEN s // 60 || ' minutes (recent conversation)' WHEN s < 86400 THEN s // 3600 || ' hours (same day, but significant pause)' ELSE s // 86400 || ' days (long gap, likely new conversation)' END END AS gap FROM s",
+    "time_gap_labels": "WITH e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms FROM events), g AS (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS b FROM e), s AS (SELECT *, floor((ms - b) / 1000)::BIGINT AS s FROM g) SELECT event_id, user_id, CASE WHEN b IS NULL OR b = 0 OR ms = 0 THEN 'No timestamp information available' ELSE 'Time gap: ' || CASE WHEN s < 0 THEN 'Messages appear to be out of order' WHEN s < 60 THEN s || ' seconds (immediate response)' WHEN s < 3600 THEN s // 60 || ' minutes (recent conversation)' WHEN s < 86400 THEN s // 3600 || ' hours (same day, but significant pause)' ELSE s // 86400 || ' days (long gap, likely new conversation)' END END AS gap FROM s",
     "session_spacing": "WITH s AS (SELECT user_id, epoch_ms(ts) // 86400000 AS day, count(*) AS n, min(epoch_ms(ts)) AS start FROM events GROUP BY ALL), l AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY day) AS f FROM s) SELECT user_id, day, n, round(CASE WHEN n <= 1 THEN 0 WHEN f IS NULL OR f <= start THEN 30000 WHEN (n - 1) * 30000 > 0.9::DOUBLE * (f - start) THEN 0.9::DOUBLE * (f - start) / (n - 1) ELSE 30000 END::DOUBLE, 3) AS spacing FROM l",
     "instant_text": f"WITH {ITEMS_SQL} SELECT conv_id, pos, strftime(make_timestamp((ts + 7200000) * 1000), '%Y-%m-%d %H:%M') || ' UTC+02:00 (' || dayname(make_timestamp((ts + 7200000) * 1000)) || ')' AS at, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day FROM items",
     "foresight_dates": f"WITH {ITEMS_SQL}, d AS (SELECT conv_id, pos, make_timestamp(ts * 1000)::DATE AS s, (length(content) % 90)::INT AS n FROM items) SELECT conv_id, pos, strftime(s, '%Y-%m-%d') AS start_time, strftime(s + n, '%Y-%m-%d') AS end_time, n::BIGINT AS duration_days, strftime(s, '%Y-%m-%d') AS cleaned FROM d",
     "chat_view": f"WITH {_CHAT} SELECT conv_id, pos, chat_pos, role FROM chat",
     "spoken_turns": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role",
     "strip_before_first_user": "SELECT conv_id, turn AS pos, role FROM (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS f FROM conversations) WHERE turn >= f",
-    "skip_reason": f"WITH {ITEMS_SQL}, b AS (SELECT conv_id, bool_or(kind <> 'text') AS tools, max_by(kind, pos) AS last, coalesce(max_by(role, pos), '') AS last_role, count(*) FILTER (kind = 'text' AND role = 'user') AS users, count(*) FILTER (kind = 'text') AS messages, coalesce(sum(length(content)) FILTER (role = 'assistant'), 0) AS tokens FROM items GROUP BY ALL) SELECT conv_id, CASE WHEN last = 'tool_call' OR last_role = 'user' THEN 'trajectory_open' WHEN NOT tools AND users < 2 THEN 'too_few_user_turns' WHEN NOT tools AND messages < 5 THEN 'too_few_messages' WHEN NOT tools AND tokens < 200 THEN 'too_few_tokens' END AS reason FROM b",
+    "skip_reason": f"WITH {ITEMS_SQL}, s AS (SELECT *, min(CASE WHEN kind = 'text' AND role = 'user' THEN pos END) OVER (PARTITION BY conv_id) AS f FROM items), b AS (SELECT conv_id, count(*) FILTER (pos >= f) AS n, coalesce(bool_or(kind <> 'text') FILTER (pos >= f), false) AS tools, coalesce(bool_or(kind = 'tool_call' OR (kind = 'text' AND role = 'assistant')) FILTER (pos >= f), false) AS answered, max_by(CASE WHEN kind = 'text' THEN 'text:' || role ELSE kind END, pos) FILTER (pos >= f) AS last, count(*) FILTER (pos >= f AND kind = 'text' AND role = 'user') AS users, coalesce(sum(length(content)) FILTER (pos >= f AND kind = 'text' AND role = 'assistant'), 0) AS tokens FROM s GROUP BY conv_id), r AS (SELECT *, CASE WHEN n = 0 THEN 'no_messages_after_strip' WHEN NOT answered THEN 'no_assistant_message' WHEN last <> 'text:assistant' THEN 'trajectory_not_closed' WHEN NOT tools AND users < 2 THEN 'no_tool_single_user' WHEN NOT tools AND n <= 4 THEN 'no_tool_too_few_messages' WHEN NOT tools AND tokens < 200 THEN 'no_tool_assistant_too_short' END AS reason FROM b) SELECT conv_id, reason, CASE reason WHEN 'trajectory_not_closed' THEN last WHEN 'no_tool_single_user' THEN users::VARCHAR WHEN 'no_tool_too_few_messages' THEN n::VARCHAR WHEN 'no_tool_assistant_too_short' THEN tokens::VARCHAR END AS detail FROM r",
     "tool_call_groups": f"WITH {ITEMS_SQL}, k AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY pos) AS b FROM items), g AS (SELECT *, sum((kind <> 'tool_result' OR b = 'text' OR b IS NULL)::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS g FROM k) SELECT conv_id, min(pos) AS start_pos, max(pos) + 1 AS end_pos, count(*) FILTER (kind = 'tool_result') AS n_results FROM g GROUP BY conv_id, g HAVING min_by(kind, pos) = 'tool_call'",
     "speaker_lines": f"WITH {ITEMS_SQL} SELECT conv_id, pos, '[' || strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M') || ' UTC] ' || CASE WHEN pos % 3 = 0 THEN sender_id ELSE role END || ': ' || content AS line FROM items WHERE kind = 'text'",
     "force_split_message_limit": "WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY ALL) SELECT conv_id, unnest(range(1, (n - 4) // 3 + 2)) * 3 AS cut FROM s WHERE n >= 4",
@@ -276,6 +276,7 @@ ORACLE_SQL = {
     "block_lists": f"WITH {_ATOMS} SELECT * FROM atoms",
     "preprocess_content": r"WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS b FROM documents) SELECT doc_id, length(b) AS n, md5(b) AS digest FROM d",
     "segment_ranges": "SELECT doc_id, array_to_string(list_concat(range(doc_id % 7, doc_id % 11 + 1), [n_chars % 5]), ',') AS pages FROM documents",
+    "mask_account_numbers": r"WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[0-9０-９](?:[ -]?[0-9０-９]){11,}[XxＸｘ]?', '***', 'g') AS m FROM documents) SELECT doc_id, m <> t AS masked, m <> t AS has_number, md5(m) AS digest FROM d",
     "modality_lookup": f"SELECT page_id, {_EXT} AS extension, CASE {_EXT} {_KINDS} ELSE 'unknown' END AS modality FROM pages",
     "mime_normalise": f"WITH m AS (SELECT page_id, lower(trim(string_split(['Text/HTML; charset=utf-8', 'application/PDF', ' image/png ;q=1', 'text/x-unknown'][page_id % 4 + 1], ';')[1])) AS mime FROM pages) SELECT page_id, mime, CASE mime {_MIMES} ELSE '' END AS extension FROM m",
     "image_slices": "WITH p AS (SELECT page_id, 100 + page_id % 50 AS w, length(html) AS h FROM pages), n AS (SELECT *, ceil(h / w / 10)::BIGINT AS n FROM p), q AS (SELECT *, h // n AS part, greatest(50, least(200, floor(0.1::DOUBLE * (h // n))::BIGINT)) AS o FROM n), r AS (SELECT *, unnest(range(0, n)) AS i FROM q WHERE h > 10 * w) SELECT page_id, CASE WHEN i = 0 THEN 0 ELSE i * part - o END AS top, CASE WHEN i = n - 1 THEN h ELSE (i + 1) * part + o END AS bottom FROM r UNION ALL SELECT page_id, 0, h FROM p WHERE h <= 10 * w",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text, tokens
 from palimpsest.operators import documents, model, segments, state
 from palimpsest.sources import pages
-from palimpsest.sources.tables import CLOCK_START, items, table
+from palimpsest.plans.records import _ATOMS
+from palimpsest.sources.tables import CLOCK_START, ITEMS_SQL, items, table
 
 
 def sized_items(spark, sf_dir):
@@ -114,7 +115,24 @@ def model_usage(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (boundary_step_replay, force_split_tokens, greedy_token_batches, geometric_clusters, profile_merge_replay, pending_replay, matter_replay, skill_ops_replay, page_text, page_metadata, text_widths, token_estimates, truncated_texts, model_replay, model_usage)}
 
+_SIZED = f"{ITEMS_SQL}, i AS (SELECT conv_id, pos, length(content) AS own, pos % 7 = 6 AS ends, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM items)"
+
 ORACLE_SQL = {
+    "boundary_step_replay": f"""WITH RECURSIVE {_SIZED}, r AS (
+  SELECT conv_id, k, pos, 1 AS n, pos AS start, own AS size, own AS last, NULL::BIGINT AS closed, NULL::VARCHAR AS cause FROM i WHERE k = 1
+  UNION ALL SELECT conv_id, k, pos, CASE WHEN NOT closes THEN n + 1 WHEN n > 3 THEN 2 ELSE 1 END, CASE WHEN NOT closes THEN start WHEN n > 3 THEN pos - 1 ELSE pos END,
+    own + CASE WHEN NOT closes THEN size WHEN n > 3 THEN last ELSE 0 END, own, CASE WHEN closes THEN start END, CASE WHEN closes THEN CASE WHEN full_ THEN 'limit' ELSE 'reply' END END
+  FROM (SELECT r.conv_id, i.k, i.pos, i.own, n, start, size, last, n + 1 >= 10 OR size + i.own >= 4000 AS full_, n >= 2 AND (n + 1 >= 10 OR size + i.own >= 4000 OR ends) AS closes FROM r JOIN i ON i.conv_id = r.conv_id AND i.k = r.k + 1)
+) SELECT conv_id, closed AS start_pos, pos AS end_pos, cause FROM r WHERE closed IS NOT NULL UNION ALL SELECT conv_id, max_by(start, k), max(pos) + 1, 'end' FROM r GROUP BY conv_id""",
+    "force_split_tokens": f"""WITH RECURSIVE {_SIZED}, c AS (SELECT conv_id, count(*) AS n, list_concat([0], list(total ORDER BY k)) AS cum FROM (SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY k) AS total FROM i) GROUP BY conv_id), r AS (
+  SELECT conv_id, n, cum, 0::BIGINT AS at_ FROM c
+  UNION ALL SELECT conv_id, n, cum, at_ + CASE WHEN h <= 1 OR cum[at_ + h + 1] - cum[at_ + 1] < 1500 THEN h WHEN h // 2 <= 1 OR cum[at_ + h // 2 + 1] - cum[at_ + 1] < 1500 THEN h // 2 ELSE 1 END
+  FROM (SELECT *, least(5, n - at_ - 1) AS h FROM r WHERE n - at_ > 1 AND (cum[n + 1] - cum[at_ + 1] >= 1500 OR n - at_ >= 6))
+) SELECT conv_id, at_ AS cut FROM r WHERE at_ > 0""",
+    "greedy_token_batches": f"""WITH RECURSIVE {_ATOMS}, a AS (SELECT doc_id, atom_id, length(text) AS own FROM atoms), r AS (
+  SELECT doc_id AS key, atom_id AS pos, own AS held, 0::BIGINT AS batch FROM a WHERE atom_id = 0
+  UNION ALL SELECT r.key, a.atom_id, CASE WHEN held > 0 AND held + own > 2000 THEN own ELSE held + own END, CASE WHEN held > 0 AND held + own > 2000 THEN batch + 1 ELSE batch END FROM r JOIN a ON a.doc_id = r.key AND a.atom_id = r.pos + 1
+) SELECT key, pos, batch FROM r""",
     "model_replay": """SELECT item_id, item_id % 3 = 1 AS ok, CASE item_id % 3 WHEN 0 THEN 'reply: not JSON' WHEN 1 THEN '' ELSE 'correct: not of kind bool' END AS error, CASE WHEN item_id % 3 = 1 THEN CASE WHEN length(text) % 2 = 0 THEN 'true' ELSE 'false' END END AS correct FROM benchmark""",
     "model_usage": "WITH s AS (SELECT count(*) AS calls, sum(16 + length(coalesce(text, '')))::BIGINT AS p FROM benchmark) SELECT 'judge' AS operator, calls, p AS prompt_tokens, 3 * calls AS completion_tokens, round((p * 0.4::DOUBLE + 3 * calls * 1.6::DOUBLE) / 1e6, 6) AS cost FROM s",
 }

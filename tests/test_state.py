@@ -26,8 +26,15 @@ def test_boundaries_bridge_and_limit():
     rows = [{"conv_id": 1, "pos": i, "n_tokens": 10, "should_end": i == 7} for i in range(12)]
     now, out = run(state.boundary_step, rows, messages=50, tokens=8192)
     assert [(o["start_pos"], o["end_pos"], o["cause"]) for o in out + state.boundary_finish(now)] == [(0, 7, "reply"), (6, 12, "end")]
-    _, out = run(state.boundary_step, [{**r, "should_end": False} for r in rows], messages=5, tokens=8192)
-    assert [(o["start_pos"], o["end_pos"]) for o in out] == [(0, 5), (5, 10)]
+    # the held messages and the new one together reach the limit
+    quiet = [{**r, "should_end": False} for r in rows]
+    _, out = run(state.boundary_step, quiet, messages=5, tokens=8192)
+    assert [(o["start_pos"], o["end_pos"]) for o in out] == [(0, 4), (4, 8)]
+    for limit, ends in ((30, [2, 4, 6, 8, 10]), (31, [3, 6, 9])):
+        _, out = run(state.boundary_step, quiet, messages=50, tokens=limit)
+        assert [o["end_pos"] for o in out] == ends
+    _, out = run(state.boundary_step, quiet, messages=8, tokens=8192)  # a limit bridges too
+    assert [(o["start_pos"], o["end_pos"], o["cause"]) for o in out] == [(0, 7, "limit")]
 
 
 def test_clusters_window_and_ties():
@@ -117,4 +124,4 @@ def test_text_functions(spark):
     merged, where = documents.merged_topics([{"refs": [1]}, {"refs": [2]}, {"refs": [3]}], [[0, 2], [9]])
     assert [m["refs"] for m in merged] == [[1, 3], [2]] and where == {0: 0, 1: 1, 2: 0}
     masked = spark.range(1).select(text.mask_account_numbers(F.lit("card 1234 5678-9012 3 x 12345")).alias("m")).first().m
-    assert masked == "card [number] x 12345"
+    assert masked == "card *** x 12345"
