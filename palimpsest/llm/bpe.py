@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import FragmentEncoder, byte_alphabet, encoder
-from palimpsest.llm.runtime import chunks, text_bytes
+from palimpsest.llm.runtime import bounded, chunks, text_bytes
 
 
 class ByteDecoder:
@@ -58,7 +58,7 @@ def encode_ids(df: DataFrame, path: str, id_column: str = "doc_id", text: str =
             )
 
     kind_of_id = df.schema[id_column].dataType.simpleString()
-    return df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind_of_id}, ids binary, n_tokens bigint").withColumnRenamed("id", id_column)
+    return bounded(df).select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind_of_id}, ids binary, n_tokens bigint").withColumnRenamed("id", id_column)
 
 
 def decode_ids(df: DataFrame, path: str, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -93,4 +93,4 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
                 in_text.append(hashlib.sha256(data[x:y].tobytes().decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(before)), pa.array(in_ids, pa.string()), pa.array(in_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return bounded(df).select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tasks cut the text they handle at once into pieces of about this size, so that memory does not follow the Arrow batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Spark hands texts to Python in batches of about this size, whatever their number of rows.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -45,9 +47,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded by bytes; plans made from now on follow."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import FragmentEncoder, encoder
-from palimpsest.llm.runtime import chunks, text_bytes
+from palimpsest.llm.runtime import bounded, chunks, text_bytes
 from palimpsest.llm.textops import SPACE
 
 #: Bytes of text that a leaf is made with at least; leaves end at the next safe place.
@@ -211,7 +211,7 @@ def edit_trees(trees: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         source = encoder(path, "byte")
-        for batch in batches:
+        for batch in chunks(batches, "tree"):
             trees = [TokenTree.from_bytes(data, source) if data is not None else TokenTree.of("", source) for data in batch.column(1).to_pylist()]
             before = [t.n_tokens for t in trees]
             done = _apply(trees, batch.column(2).to_pylist(), source)
@@ -233,7 +233,7 @@ def edited_counts(df: DataFrame, path: str) -> DataFrame:
             rows = [(n, k, t.n_chars, t.n_tokens, t.encoded) for n, k, t in zip(before, done, trees, strict=True)]
             yield _batch(batch.column(0), rows, False)
 
-    return df.select("doc_id", "text", F.col("edits").cast(EDITS)).mapInArrow(run, f"doc_id bigint, {_OUT}")
+    return bounded(df).select("doc_id", "text", F.col("edits").cast(EDITS)).mapInArrow(run, f"doc_id bigint, {_OUT}")
 
 
 def _batch(ids: pa.Array, rows: list[tuple], with_tree: bool) -> pa.RecordBatch:
