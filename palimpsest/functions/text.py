@@ -104,11 +104,11 @@ def usable_queries(candidates: Column, original: Column, count: int) -> Column:
 
 
 def refined_query(text: Column, original: Column, prefixes: list[str]) -> Column:
-    """Strip known prefixes in order; fall back to the original where nothing usable is left."""
+    """Strip known prefixes in order; fall back to the original where nothing usable, or only the original, is left."""
     out = F.trim(text)
     for p in prefixes:
-        out = F.when(F.startswith(F.lower(out), F.lit(p.lower())), F.trim(F.substring(out, len(p) + 1, 1 << 30))).otherwise(out)
-    return F.when(F.length(out).between(5, 300), out).otherwise(original)
+        out = F.when(F.startswith(out, F.lit(p)), F.trim(F.substring(out, len(p) + 1, 1 << 30))).otherwise(out)
+    return F.when(F.length(out).between(5, 300) & (F.lower(out) != F.lower(original)), out).otherwise(original)
 
 
 def normal_labels(labels: Column) -> Column:

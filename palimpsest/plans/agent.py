@@ -49,7 +49,7 @@ def extracted_episode_errors(spark, sf_dir):
 
 
 def extracted_facts(spark, sf_dir):
-    c = items(spark, sf_dir).filter("kind = 'text'").groupBy(F.col("conv_id").alias("ep_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: F.when(x["pos"] % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), F.substring(x["content"], 1, 30)))).alias("facts"))
+    c = items(spark, sf_dir).filter("kind = 'text'").groupBy(F.col("conv_id").alias("ep_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: F.when(x["pos"] % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), x["content"]))).alias("facts"))
     good, _ = _good(c.select("ep_id", F.to_json(F.struct("facts")).alias("reply")), "facts")
     return extraction.facts(good)
 
@@ -85,7 +85,7 @@ ORACLE_SQL = {
     "agentic_two_rounds": f"WITH {PAIRS_SQL}, verdict AS (SELECT query_id, score >= 0.9 AS ok FROM dense WHERE ord = 1), one AS (SELECT * FROM dense WHERE ord <= 15), f AS ({_FUSE.format(k=40, routes='SELECT query_id, id, ord, 0 AS r FROM sparse UNION ALL SELECT query_id, id, ord, 1 FROM third')}), more AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS ord FROM f), m AS (SELECT query_id, id, 1 AS r, ord FROM one UNION ALL SELECT query_id, id, 2, ord FROM more x WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = x.query_id AND one.id = x.id)), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, ord) AS n FROM m QUALIFY n <= 30), g AS (SELECT c.query_id, c.id, row_number() OVER (PARTITION BY c.query_id ORDER BY t.score DESC NULLS LAST, n)::INT AS rank FROM c JOIN verdict v ON v.query_id = c.query_id AND NOT ok LEFT JOIN third t ON t.query_id = c.query_id AND t.id = c.id) SELECT query_id, rank, id, 2 AS rounds FROM g WHERE rank <= 10 UNION ALL SELECT query_id, ord, id, 1 FROM dense JOIN verdict USING (query_id) WHERE ok AND ord <= 10",
     "extracted_episodes": f"WITH {ITEMS_SQL}, c AS (SELECT conv_id AS cell_id, max(ts) AS ts, trim(min_by(content, pos)) AS body FROM items GROUP BY ALL) SELECT cell_id, ts, 'On ' || cell_id AS subject, md5(body) AS episode, substr(body, 1, 200) AS summary FROM c WHERE cell_id % 4 <> 0",
     "extracted_episode_errors": "SELECT DISTINCT conv_id AS cell_id, 'title: blank' AS rule FROM conversations WHERE conv_id % 4 = 0",
-    "extracted_facts": f"WITH {ITEMS_SQL} SELECT conv_id AS ep_id, (row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1)::INT AS fact_no, trim(substr(content, 1, 30)) AS content FROM items WHERE kind = 'text' AND pos % 4 <> 1",
+    "extracted_facts": f"WITH {ITEMS_SQL} SELECT conv_id AS ep_id, (row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1)::INT AS fact_no, trim(content) AS content FROM items WHERE kind = 'text' AND pos % 4 <> 1 AND trim(content) <> ''",
     "reply_errors": "SELECT ['reply: not JSON', 'sufficient: not of kind bool', 'known: missing', 'why: unknown field'][item_id % 5] AS rule, count(*) AS n FROM benchmark WHERE item_id % 5 > 0 GROUP BY ALL",
     "classified_documents": "SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN lang ELSE '' END AS category_id FROM documents",
     "reflected_episodes": "WITH e AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT label::BIGINT AS cluster_id, max(vec_id) AS ts, 'merged' AS episode, count(*) AS n_cells FROM e WHERE n >= 2 AND label % 2 = 1 GROUP BY ALL UNION ALL SELECT label::BIGINT, vec_id, 'e' || vec_id, 1 FROM e WHERE n < 2 OR label % 2 = 0",

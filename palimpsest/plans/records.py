@@ -164,8 +164,8 @@ def unsplit_leaves(spark, sf_dir):
 
 
 def profile_dedupe(spark, sf_dir):
-    """Documents of a source as profile items; the description is the first line."""
-    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("owner_id"), F.col("doc_id").alias("pos"), F.md5(F.lower(F.trim(F.regexp_replace(F.split(F.coalesce("text", F.lit("")), "\n")[0], "[ \t]+", " ")))).alias("folded"))
+    """Documents of a source as profile items; the description is the whole text."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("owner_id"), F.col("doc_id").alias("pos"), F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \t]+", " ")))).alias("folded"))
     return scoring.keep_first(d).select("owner_id", "pos")
 
 
@@ -217,15 +217,16 @@ def context_tokens(spark, sf_dir):
 
 
 def final_answer(spark, sf_dir):
-    marked = F.concat(F.lit("thinking FINAL ANSWER: no, "), F.coalesce(F.substring("text", 1, 20), F.lit("")), F.lit(" FINAL ANSWER:  "), F.col("item_id").cast("string"))
+    marked = F.concat(F.lit("thinking FINAL ANSWER: no, "), F.coalesce("text", F.lit("")), F.lit(" FINAL ANSWER:  "), F.col("item_id").cast("string"))
     return table(spark, sf_dir, "benchmark").select("item_id", text.after_last_marker(marked, ["FINAL ANSWER", "Answer"]).alias("answer"))
 
 
 def query_filter(spark, sf_dir):
     """Of four rewritings of a query those that may be asked."""
-    b = table(spark, sf_dir, "benchmark").filter("text is not null")
-    tried = F.array(F.concat(F.lit("  "), "text", F.lit(" ")), F.lit("abc"), F.concat(F.lit(" what about "), F.substring("text", 1, 30)), F.concat(F.lit("more on "), F.substring("text", 1, 12)), F.repeat("text", 3))
-    return b.select("item_id", F.array_join(text.usable_queries(tried, F.col("text"), 3), "|").alias("queries"), text.refined_query(F.concat(F.lit("Query: refined query: "), F.substring("text", 1, 25)), F.col("text"), ["query:", "refined query:"]).alias("refined"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    tried = F.array(F.concat(F.lit("  "), F.upper("text"), F.lit(" ")), F.lit("abc"), F.concat(F.lit(" what about "), "text"), F.concat(F.lit("more on "), "text"), F.repeat("text", 3))
+    refined = F.concat(F.when(F.col("item_id") % 2 == 0, F.lit("Refined Query: Query: ")).otherwise(F.lit("Output: now ")), F.col("text"))
+    return b.select("item_id", F.array_join(text.usable_queries(tried, F.col("text"), 3), "|").alias("queries"), text.refined_query(refined, F.col("text"), ["Refined Query:", "Output:", "Answer:", "Query:"]).alias("refined"))
 
 
 def skill_sufficiency(spark, sf_dir):
@@ -285,7 +286,7 @@ ORACLE_SQL = {
     "uncovered_blocks": f"WITH {_TREE}, x AS (SELECT DISTINCT doc_id, unnest(refs) AS atom_id FROM flat) SELECT doc_id, atom_id FROM atoms a WHERE NOT regexp_matches(text, '^[-*=]{{3,}}$') AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = a.doc_id AND x.atom_id = a.atom_id)",
     "topic_content": f"WITH {_TREE}, x AS (SELECT doc_id, topic_index, unnest(refs) AS atom_id FROM flat), c AS (SELECT x.doc_id, topic_index, string_agg(text, chr(10) ORDER BY atom_id) AS content FROM x JOIN atoms USING (doc_id, atom_id) GROUP BY ALL) SELECT doc_id, topic_index, length(content) AS n, md5(content) AS digest FROM c",
     "unsplit_leaves": f"WITH {_TREE}, x AS (SELECT f.doc_id, topic_index, unnest(refs) AS atom_id FROM flat f WHERE NOT EXISTS (SELECT 1 FROM kids k WHERE k.doc_id = f.doc_id AND k.parent_index = f.topic_index)), b AS (SELECT x.doc_id, topic_index, count(*) FILTER (regexp_matches(text, '^[A-E]')) AS n_headings, sum(length(text))::BIGINT AS n_chars FROM x JOIN atoms USING (doc_id, atom_id) GROUP BY ALL) SELECT * FROM b WHERE n_headings >= 2 AND n_chars >= 300 AND n_chars / n_headings >= 100",
-    "profile_dedupe": r"WITH d AS (SELECT coalesce(source, '') AS owner_id, doc_id AS pos, lower(trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[ \t]+', ' ', 'g'))) AS f FROM documents) SELECT owner_id, pos FROM d QUALIFY row_number() OVER (PARTITION BY owner_id, f ORDER BY pos) = 1",
+    "profile_dedupe": r"WITH d AS (SELECT coalesce(source, '') AS owner_id, doc_id AS pos, lower(trim(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'))) AS f FROM documents) SELECT owner_id, pos FROM d QUALIFY row_number() OVER (PARTITION BY owner_id, f ORDER BY pos) = 1",
     "overcrowded_labels": "SELECT coalesce(source, '') AS owner_id, min_by(CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END, doc_id) AS label, count(*) AS n_items FROM documents GROUP BY coalesce(source, ''), lower(lang) HAVING count(*) > 8 OR max(n_chars) > 20000",
     "skill_gate": "SELECT doc_id, toxic = 1 OR quality * 0.5 >= 0.2 AS admitted, doc_id * 700 > 50000 OR quality * 0.5 + 0.3 >= 0.7 AS case_admitted FROM labels",
     "maturity_score": "SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (quality * 5 + toxic * 4 + doc_id % 6 + 9)::DOUBLE / 20)) AS maturity FROM labels",
@@ -296,6 +297,6 @@ ORACLE_SQL = {
     "judge_by_category": f"WITH {_RUNS}, {_ACC.format(keys='category,')}",
     "context_tokens": "SELECT lang, floor(avg(n_chars) FILTER (n_chars > 0))::BIGINT AS avg_tokens, sum(n_chars)::BIGINT AS total FROM documents GROUP BY lang",
     "final_answer": "SELECT item_id, item_id::VARCHAR AS answer FROM benchmark",
-    "query_filter": "SELECT item_id, array_to_string(list_filter([trim('what about ' || substr(text, 1, 30)), trim('more on ' || substr(text, 1, 12)), trim(repeat(text, 3))], lambda q: length(q) BETWEEN 5 AND 300), '|') AS queries, trim(substr(text, 1, 25)) AS refined FROM benchmark WHERE text IS NOT NULL",
+    "query_filter": "WITH b AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark), r AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN trim(t) ELSE trim('now ' || t) END AS q FROM b) SELECT item_id, array_to_string(list_filter([trim('what about ' || t), trim('more on ' || t), trim(repeat(t, 3))], lambda q: length(q) BETWEEN 5 AND 300 AND lower(q) <> lower(trim(t)))[:3], '|') AS queries, CASE WHEN length(q) BETWEEN 5 AND 300 AND lower(q) <> lower(t) THEN q ELSE t END AS refined FROM r",
     "skill_sufficiency": r"WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS b FROM documents) SELECT doc_id, length(b) >= 50 AND len(list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '')) >= 5 AS sufficient FROM d",
 }
