@@ -1,6 +1,6 @@
 """What models extract, as requests and as finished relations.
 
-Each kind has a reply shape (read strictly) and a finish that turns good replies into rows; replies that are missing or
+Each kind has a reply shape (``replies.SHAPES``, read strictly) and a finish that turns good replies into rows; replies that are missing or
 break the shape are rows of an error relation (key, rule) instead. Requests are made by ``model.requests`` and answered
 outside; nothing here depends on which model did.
 """
@@ -12,30 +12,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text, time
 from palimpsest.operators import model
+from palimpsest.operators import replies as replies_
 from palimpsest.operators.scoring import case_gate
 from palimpsest.session import plain_union
 
-#: Reply shapes by kind.
-SHAPES = {
-    "boundaries": {"boundaries": "list"},
-    "should_end": {"should_end": "bool"},
-    "episode": {"title": "string", "content": "string"},
-    "summary": {"summary": "string"},
-    "facts": {"facts": "list"},
-    "foresights": {"foresights": "list"},
-    "cluster": {"index": "int"},
-    "rerank": {"ranked": "list"},
-    "sufficient": {"sufficient": "bool", "missing": "list", "known": "list"},
-    "queries": {"queries": "list"},
-    "gate": {"probability": "number"},
-    "category": {"category": "string"},
-    "judge": {"correct": "bool"},
-}
-
-
 def read(asked: DataFrame, replies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """(requests with ``value``, the good reply as JSON; request_hash and rule of the others)."""
-    parsed = model.parse_replies(model.replied(asked, replies), SHAPES[kind])
+    parsed = replies_.parsed(model.replied(asked, replies), kind)
     ok = parsed.filter(F.col("parsed.ok") & F.col("error").isNull()).withColumn("value", F.col("parsed.value")).drop("parsed", "reply", "error")
     bad = parsed.filter(~(F.col("parsed.ok") & F.col("error").isNull())).select("request_hash", F.coalesce("error", F.col("parsed.error")).alias("rule"))
     return ok, bad
@@ -69,7 +52,7 @@ def summaries(good: DataFrame) -> DataFrame:
 
 def facts(good: DataFrame) -> DataFrame:
     """ep_id, fact_no, content: trimmed, not blank, in order."""
-    f = good.select("ep_id", F.posexplode(_list("facts", "string")).alias("i", "c")).select("ep_id", "i", F.trim("c").alias("content")).filter(F.col("content") != "")
+    f = good.select("ep_id", F.posexplode(_list("atomic_facts.atomic_fact", "string")).alias("i", "c")).select("ep_id", "i", F.trim("c").alias("content")).filter(F.col("content") != "")
     return f.select("ep_id", (F.row_number().over(Window.partitionBy("ep_id").orderBy("i")) - 1).alias("fact_no"), "content")
 
 
@@ -78,12 +61,12 @@ def foresights(good: DataFrame, most: int = 10) -> DataFrame:
 
     The start is the reply's date or the cell's day; the end follows from the length, or the length from the end.
     """
-    kind = "struct<foresight:string,start_time:string,end_time:string,duration_days:int>"
-    f = good.select("cell_id", "ts", F.posexplode(_list("foresights", kind)).alias("i", "f")).filter(F.trim(F.coalesce("f.foresight", F.lit(""))) != "")
+    kind = "struct<content:string,start_time:string,end_time:string,duration_days:int>"
+    f = good.select("cell_id", "ts", F.posexplode(_list("foresights", kind)).alias("i", "f")).filter(F.trim(F.coalesce("f.content", F.lit(""))) != "")
     f = f.withColumn("n", F.row_number().over(Window.partitionBy("cell_id").orderBy("i"))).filter(F.col("n") <= most)
     start = F.coalesce(time.cleaned_date(F.col("f.start_time")), time.day(F.col("ts")))
     end = time.cleaned_date(F.col("f.end_time"))
-    f = f.select("cell_id", "n", F.trim("f.foresight").alias("foresight"), start.alias("start_time"), end.alias("e"), F.col("f.duration_days").alias("d"))
+    f = f.select("cell_id", "n", F.trim("f.content").alias("foresight"), start.alias("start_time"), end.alias("e"), F.col("f.duration_days").alias("d"))
     return f.select("cell_id", "n", "foresight", "start_time", F.coalesce("e", time.plus_days(F.col("start_time"), F.col("d"))).alias("end_time"), F.coalesce("d", time.days_between(F.col("start_time"), F.col("e"))).alias("duration_days"))
 
 
@@ -93,14 +76,14 @@ def assigned_clusters(good: DataFrame, recall: DataFrame, sure: float = 0.85) ->
     recall: id, place (from 0), cluster_id, similarity. An index outside the list opens a new cluster.
     """
     near = recall.filter((F.col("place") == 0) & (F.col("similarity") >= sure)).select("id", F.col("cluster_id").alias("near"))
-    named = good.select("id", _field("index", "int").alias("place")).join(recall.select("id", "place", F.col("cluster_id").alias("named")), ["id", "place"], "left").select("id", "named")
+    named = good.select("id", _field("idx", "int").alias("place")).join(recall.select("id", "place", F.col("cluster_id").alias("named")), ["id", "place"], "left").select("id", "named")
     return recall.select("id").distinct().join(near, "id", "left").join(named, "id", "left").select("id", F.coalesce("near", "named").alias("cluster_id"))
 
 
 def reranked(good: DataFrame) -> DataFrame:
     """query_id, id, score: the reply's scores, the last one of an id."""
-    r = good.select("query_id", F.posexplode(_list("ranked", "struct<id:bigint,score:double>")).alias("i", "r")).filter("r.id is not null and r.score is not null")
-    return r.groupBy("query_id", F.col("r.id").alias("id")).agg(F.max_by("r.score", "i").alias("score"))
+    r = good.select("query_id", F.posexplode(_list("ranked", "struct<id:string,score:double>")).alias("i", "r")).filter("r.id is not null and r.score is not null")
+    return r.groupBy("query_id", F.col("r.id").cast("bigint").alias("id")).agg(F.max_by("r.score", "i").alias("score"))
 
 
 def batch_scores(batches: DataFrame, least: float = 0.3) -> DataFrame:
@@ -113,7 +96,7 @@ def batch_scores(batches: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def verdicts(good: DataFrame) -> DataFrame:
-    return good.select("query_id", _field("sufficient", "boolean").alias("sufficient"))
+    return good.select("query_id", _field("is_sufficient", "boolean").alias("sufficient"))
 
 
 def further_queries(good: DataFrame, original: Column, count: int = 3) -> DataFrame:
@@ -127,7 +110,7 @@ def gated(good: DataFrame, tokens: Column, bypass: int = 50_000, least: float =
 
 def categories(good: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, category_id: a label of the closed set ``known`` (id), '' for any other."""
-    c = good.select("doc_id", F.trim(_field("category")).alias("id"))
+    c = good.select("doc_id", F.trim(_field("category_id")).alias("id"))
     return c.join(known.select("id", F.lit(True).alias("_k")).distinct(), "id", "left").select("doc_id", F.when(F.col("_k"), F.col("id")).otherwise("").alias("category_id"))
 
 

@@ -50,20 +50,22 @@ def extracted_episode_errors(spark, sf_dir):
 
 def extracted_facts(spark, sf_dir):
     c = items(spark, sf_dir).filter("kind = 'text'").groupBy(F.col("conv_id").alias("ep_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: F.when(x["pos"] % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), x["content"]))).alias("facts"))
-    good, _ = _good(c.select("ep_id", F.to_json(F.struct("facts")).alias("reply")), "facts")
+    good, _ = _good(c.select("ep_id", F.to_json(F.struct(F.struct(F.col("facts").alias("atomic_fact")).alias("atomic_facts"))).alias("reply")), "facts")
     return extraction.facts(good)
 
 
 def reply_errors(spark, sf_dir):
     """Replies of five shapes, of which one is right."""
     b = table(spark, sf_dir, "benchmark").select("item_id")
-    reply = F.element_at(F.array(F.lit('{"sufficient": true, "missing": [], "known": []}'), F.lit("no json"), F.lit('{"sufficient": 1, "missing": [], "known": []}'), F.lit('{"sufficient": true, "missing": []}'), F.lit('{"sufficient": true, "missing": [], "known": [], "why": ""}')), (F.col("item_id") % 5 + 1).cast("int"))
+    reply = F.element_at(F.array(*[F.lit(x) for x in (
+        '{"is_sufficient": true, "reasoning": "", "key_information_found": [], "missing_information": []}', "no json", '{"is_sufficient": 1, "reasoning": "", "key_information_found": [], "missing_information": []}',
+        '{"is_sufficient": true, "reasoning": "", "key_information_found": ["a", 2], "missing_information": []}', '{"is_sufficient": true, "reasoning": "", "key_information_found": [], "missing_information": [], "why": ""}')]), (F.col("item_id") % 5 + 1).cast("int"))
     _, bad = _good(b.select("item_id", reply.alias("reply")), "sufficient")
     return bad.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def classified_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.concat(F.coalesce("lang", F.lit("")), F.lit(" ")).alias("category"))).alias("reply"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.concat(F.coalesce("lang", F.lit("")), F.lit(" ")).alias("category_id"))).alias("reply"))
     known = spark.createDataFrame([("en",), ("fr",), ("xx",)], "id string")
     good, _ = _good(d, "category")
     return extraction.categories(good, known)
@@ -86,7 +88,7 @@ ORACLE_SQL = {
     "extracted_episodes": f"WITH {ITEMS_SQL}, c AS (SELECT conv_id AS cell_id, max(ts) AS ts, trim(min_by(content, pos)) AS body FROM items GROUP BY ALL) SELECT cell_id, ts, 'On ' || cell_id AS subject, md5(body) AS episode, substr(body, 1, 200) AS summary FROM c WHERE cell_id % 4 <> 0",
     "extracted_episode_errors": "SELECT DISTINCT conv_id AS cell_id, 'title: blank' AS rule FROM conversations WHERE conv_id % 4 = 0",
     "extracted_facts": f"WITH {ITEMS_SQL} SELECT conv_id AS ep_id, (row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1)::INT AS fact_no, trim(content) AS content FROM items WHERE kind = 'text' AND pos % 4 <> 1 AND trim(content) <> ''",
-    "reply_errors": "SELECT ['reply: not JSON', 'sufficient: not of kind bool', 'known: missing', 'why: unknown field'][item_id % 5] AS rule, count(*) AS n FROM benchmark WHERE item_id % 5 > 0 GROUP BY ALL",
+    "reply_errors": "SELECT ['reply: not JSON', 'is_sufficient: not of kind bool', 'key_information_found[1]: not of kind str', 'why: unknown field'][item_id % 5] AS rule, count(*) AS n FROM benchmark WHERE item_id % 5 > 0 GROUP BY ALL",
     "classified_documents": "SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN lang ELSE '' END AS category_id FROM documents",
     "reflected_episodes": "WITH e AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT label::BIGINT AS cluster_id, max(vec_id) AS ts, 'merged' AS episode, count(*) AS n_cells FROM e WHERE n >= 2 AND label % 2 = 1 GROUP BY ALL UNION ALL SELECT label::BIGINT, vec_id, 'e' || vec_id, 1 FROM e WHERE n < 2 OR label % 2 = 0",
 }

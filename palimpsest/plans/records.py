@@ -224,7 +224,7 @@ def final_answer(spark, sf_dir):
 def query_filter(spark, sf_dir):
     """Of four rewritings of a query those that may be asked."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    tried = F.array(F.concat(F.lit("  "), F.upper("text"), F.lit(" ")), F.lit("abc"), F.concat(F.lit(" what about "), "text"), F.concat(F.lit("more on "), "text"), F.repeat("text", 3))
+    tried = F.array(F.concat(F.lit("  "), "text", F.lit(" ")), F.lit("abc"), F.concat(F.lit(" what about "), "text"), F.concat(F.lit("more on "), "text"), F.repeat("text", 3))
     refined = F.concat(F.when(F.col("item_id") % 2 == 0, F.lit("Refined Query: Query: ")).otherwise(F.lit("Output: now ")), F.col("text"))
     return b.select("item_id", F.array_join(text.usable_queries(tried, F.col("text"), 3), "|").alias("queries"), text.refined_query(refined, F.col("text"), ["Refined Query:", "Output:", "Answer:", "Query:"]).alias("refined"))
 

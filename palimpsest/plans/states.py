@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text, tokens
 from palimpsest.operators import documents, model, segments, state
+from palimpsest.operators import replies as strict
 from palimpsest.sources import pages
 from palimpsest.plans.records import _ATOMS
 from palimpsest.sources.tables import CLOCK_START, ITEMS_SQL, items, table
@@ -102,9 +103,9 @@ def model_replay(spark, sf_dir):
     """Requests over the benchmark, scripted replies to two of three, and what strict reading makes of them."""
     b = table(spark, sf_dir, "benchmark")
     asked = model.requests(b, "judge", F.lit("Answer in JSON."), F.coalesce("text", F.lit("")))
-    good = F.to_json(F.struct((F.length("text") % 2 == 0).alias("correct"), F.lit("because").alias("reason")))
-    replies = asked.filter(F.col("item_id") % 3 != 0).select("request_hash", F.when(F.col("item_id") % 3 == 1, good).otherwise(F.lit('{"correct": 1}')).alias("reply"), F.lit(None).cast("string").alias("error"))
-    return model.parse_replies(model.replied(asked, replies), {"correct": "bool", "reason": "string"}).select("item_id", F.col("parsed.ok").alias("ok"), F.col("parsed.error").alias("error"), F.get_json_object("parsed.value", "$.correct").alias("correct"))
+    good = F.to_json(F.struct(F.when(F.length("text") % 2 == 0, "CORRECT").otherwise("WRONG").alias("label"), F.lit("because").alias("reasoning")))
+    replies = asked.filter(F.col("item_id") % 3 != 0).select("request_hash", F.when(F.col("item_id") % 3 == 1, good).otherwise(F.lit('{"reasoning": "", "label": "RIGHT"}')).alias("reply"), F.lit(None).cast("string").alias("error"))
+    return strict.parsed(model.replied(asked, replies), "judge").select("item_id", F.col("parsed.ok").alias("ok"), F.col("parsed.error").alias("error"), F.get_json_object("parsed.value", "$.label").alias("label"))
 
 
 def model_usage(spark, sf_dir):
@@ -133,6 +134,6 @@ ORACLE_SQL = {
   SELECT doc_id AS key, atom_id AS pos, own AS held, 0::BIGINT AS batch FROM a WHERE atom_id = 0
   UNION ALL SELECT r.key, a.atom_id, CASE WHEN held > 0 AND held + own > 2000 THEN own ELSE held + own END, CASE WHEN held > 0 AND held + own > 2000 THEN batch + 1 ELSE batch END FROM r JOIN a ON a.doc_id = r.key AND a.atom_id = r.pos + 1
 ) SELECT key, pos, batch FROM r""",
-    "model_replay": """SELECT item_id, item_id % 3 = 1 AS ok, CASE item_id % 3 WHEN 0 THEN 'reply: not JSON' WHEN 1 THEN '' ELSE 'correct: not of kind bool' END AS error, CASE WHEN item_id % 3 = 1 THEN CASE WHEN length(text) % 2 = 0 THEN 'true' ELSE 'false' END END AS correct FROM benchmark""",
+    "model_replay": """SELECT item_id, item_id % 3 = 1 AS ok, CASE item_id % 3 WHEN 0 THEN 'reply: not JSON' WHEN 1 THEN '' ELSE 'label: not a known word' END AS error, CASE WHEN item_id % 3 = 1 THEN CASE WHEN length(text) % 2 = 0 THEN 'CORRECT' ELSE 'WRONG' END END AS label FROM benchmark""",
     "model_usage": "WITH s AS (SELECT count(*) AS calls, sum(16 + length(coalesce(text, '')))::BIGINT AS p FROM benchmark) SELECT 'judge' AS operator, calls, p AS prompt_tokens, 3 * calls AS completion_tokens, round((p * 0.4::DOUBLE + 3 * calls * 1.6::DOUBLE) / 1e6, 6) AS cost FROM s",
 }
