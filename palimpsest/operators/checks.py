@@ -227,10 +227,11 @@ def description_changes(updates: DataFrame) -> DataFrame:
     end of the old one is not compared.
     """
     folded = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    stem = F.regexp_replace(F.trim("old"), "[.!?。！？]+$", "")
-    opens = F.startswith(F.trim("new"), stem) & F.ltrim(F.substring(F.trim("new"), F.length(stem) + 1, F.length("new"))).rlike("^[(（]")
+    was, now = folded(F.coalesce("old", F.lit(""))), folded(F.coalesce("new", F.lit("")))
+    stem = F.regexp_replace(was, "[.!?。！？]+$", "")
+    opens = (stem != "") & F.startswith(now, stem) & F.ltrim(F.substring(now, F.length(stem) + 1, F.length(now))).rlike("^[(（]")
     change = (
-        F.when(F.col("new").isNull() | (folded(F.col("new")) == folded(F.col("old"))), "kept")
+        F.when((now == "") | (now == was), "kept")
         .when((F.col("ts") < F.col("observed_at")) & opens, "history")
         .otherwise("rewrite")
     )

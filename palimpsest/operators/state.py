@@ -7,17 +7,19 @@ States are plain dicts of JSON values.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from palimpsest.functions.text import bigram_overlap, change_ratio, fold_text
+from palimpsest.functions.text import ACCOUNT_NUMBER, bigram_overlap, change_ratio, fold_text
 from palimpsest.functions.time import DAY_MS
 
 #: The pandas types of columns without rows.
 EMPTY = {"bigint": "int64", "int": "int32", "double": "float64", "boolean": "bool", "string": "object"}
+ACCOUNT = re.compile(ACCOUNT_NUMBER)
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
@@ -124,62 +126,98 @@ def identity(description: str | None) -> str | None:
     return folded or None
 
 
-def profile_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """Apply one batch of operations (``row['ops']``: action, index, description, grounding) observed at ``row['ts']``.
+#: The two kinds of items and the field that names their group.
+BUCKETS = {"explicit_info": "category", "implicit_traits": "trait"}
+_STOPS = ".!?。！？"
 
-    Indexes mean the items as they were before the batch. A delete beats updates of the same index; updates of one index add
-    up. Evidence older than an item may neither delete nor rewrite it; it may add grounding, or append to the description.
-    Adds go to the end unless their folded description is there already.
+
+def description_change(old: str, new: str | None, stale: bool) -> str:
+    """``kept``; ``history`` if a batch older than the item adds an earlier value in brackets; else ``rewrite``."""
+    was, now = identity(old), identity(new)
+    if now is None or now == was:
+        return "kept"
+    stem = (was or "").rstrip(_STOPS)
+    appends = bool(stem) and now.startswith(stem) and now[len(stem) :].lstrip().startswith(("(", "（"))
+    return "history" if stale and appends else "rewrite"
+
+
+def _scrubbed(op: dict) -> dict | None:
+    """The fields that an operation sets, account numbers masked in the grounding; None if the description holds one."""
+    if ACCOUNT.search(op["description"] or ""):
+        return None
+    grounding = op["grounding"]
+    given = {"description": op["description"], "label": op.get("label"), "grounding": ACCOUNT.sub("***", grounding) if grounding else grounding}
+    return {k: v for k, v in given.items() if v is not None}
+
+
+def profile_step(state: dict, row: dict, new_traits: bool = False) -> tuple[dict, list[dict]]:
+    """Apply one batch of operations (``row['ops']``: action, type, index, description, label, grounding) observed at ``row['ts']``.
+
+    Indexes mean the bucket's items as they were before the batch. A delete beats updates of the same index; updates of one
+    index add up. Evidence older than an item may neither delete nor rewrite it; it may add grounding, or append history to
+    the description. Adds go to the end, their label spelled as on file, unless their folded description is there already;
+    traits are added only with ``new_traits``. An operation without a known bucket or action is refused, ``none`` is
+    passed over, and what holds an account number in its description is dropped.
     """
-    items, ts = [dict(i) for i in state.get("items", [])], int(row["ts"])
-    counts = {"added": 0, "updated": 0, "deleted": 0, "refused": 0}
-    ops = [o for o in (row["ops"] if row["ops"] is not None else []) if o is not None]
-    gone = {o["index"] for o in ops if o["action"] == "delete"}
-    keep = [True] * len(items)
-    for o in ops:
-        i = o["index"]
-        if o["action"] == "add":
-            continue
-        if i is None or not 0 <= i < len(items) or (o["action"] == "update" and i in gone):
-            counts["refused"] += 1
-            continue
+    ts = int(row["ts"])
+    held = {b: [dict(i) for i in state.get("items", {}).get(b, [])] for b in BUCKETS}
+    updates, gone, adds = ({b: kind() for b in BUCKETS} for kind in (dict, set, list))
+    counts = dict.fromkeys(("added", "updated", "deleted", "refused", "rewrote", "history"), 0)
+
+    def queue(op: dict) -> bool:
+        bucket = op.get("type", "explicit_info")
+        if bucket not in BUCKETS:
+            return False
+        items = held[bucket]
+        if op["action"] == "add":
+            if identity(op["description"]) is None or (bucket == "implicit_traits" and not new_traits):
+                return False
+            label = op.get("label")
+            same = [i["label"] for i in items if label and i.get("label") and fold_text(i["label"]) == fold_text(label)]
+            adds[bucket].append({**op, "label": same[0] if same else label})
+            return True
+        i = op["index"]
+        if op["action"] not in ("update", "delete") or i is None or i != i or not 0 <= int(i) < len(items):
+            return False
+        i = int(i)
         stale = ts < items[i]["observed_at"]
-        if o["action"] == "delete":
-            if stale:
-                counts["refused"] += 1
-            elif keep[i]:
-                keep[i] = False
-                counts["deleted"] += 1
-            continue
-        changed = False
-        new = o["description"]
-        if new and new != items[i]["description"]:
-            appends = new.startswith(items[i]["description"]) and new[len(items[i]["description"]) :].strip().startswith("(")
-            if not stale or appends:
-                items[i]["description"] = new
-                changed = True
-                if not stale:
-                    items[i]["observed_at"] = ts
-        if o["grounding"] and o["grounding"] not in items[i]["grounding"]:
-            items[i]["grounding"] = [*items[i]["grounding"], o["grounding"]]
-            changed = True
-        counts["updated" if changed else "refused"] += 1
-    items = [x for x, k in zip(items, keep, strict=True) if k]
-    for o in ops:
-        if o["action"] == "add":
-            items.append({"description": o["description"] or "", "grounding": [o["grounding"]] if o["grounding"] else [], "observed_at": ts})
-            counts["added"] += 1
-    seen, kept = set(), []
-    for x in items:
-        name = identity(x["description"])
-        if name is None or name not in seen:
-            kept.append(x)
-            seen.add(name)
-    out = {"owner_id": row["owner_id"], "ts": ts, **counts, "n_items": len(kept), "summary": next((x["description"] for x in kept if x["description"].strip()), "")}
-    return {"items": kept, "ts": max(state.get("ts", 0), ts)}, [out]
-
-
-PROFILE_SCHEMA = "owner_id string, ts bigint, added int, updated int, deleted int, refused int, n_items int, summary string"
+        if op["action"] == "delete":
+            gone[bucket] |= set() if stale else {i}
+            return not stale
+        patch = _scrubbed(op)
+        if patch is None or (stale and description_change(items[i]["description"], patch.get("description"), stale) == "rewrite"):
+            return False
+        updates[bucket][i] = {**updates[bucket].get(i, {}), **patch}
+        return True
+
+    for op in row["ops"] if row["ops"] is not None else []:
+        if op is not None and op["action"] != "none" and not queue(dict(op)):
+            counts["refused"] += 1
+    now = {}
+    for bucket, items in held.items():
+        counts["refused"] += len(updates[bucket].keys() & gone[bucket])
+        for i in updates[bucket].keys() - gone[bucket]:
+            patch = updates[bucket][i]
+            change = description_change(items[i]["description"], patch.get("description"), ts < items[i]["observed_at"])
+            items[i] = {**items[i], **patch, **({"observed_at": ts} if change == "rewrite" else {})}
+            counts["updated"] += 1
+            counts["rewrote"] += change == "rewrite"
+            counts["history"] += change == "history"
+        counts["deleted"] += len(gone[bucket])
+        new = [{"label": None, "grounding": "", **fields, "observed_at": ts} for fields in map(_scrubbed, adds[bucket]) if fields is not None]
+        counts["added"] += len(new)
+        seen, now[bucket] = set(), []
+        for x in [*(x for i, x in enumerate(items) if i not in gone[bucket]), *new]:
+            name = identity(x["description"])
+            if name is None or name not in seen:
+                now[bucket].append(x)
+                seen.add(name)
+    summary = next((x["description"] for x in now["explicit_info"] if x["description"].strip()), "")
+    out = {"owner_id": row["owner_id"], "ts": ts, **counts, "n_items": sum(map(len, now.values())), "summary": summary}
+    return {"items": now, "ts": max(state.get("ts", 0), ts)}, [out]
+
+
+PROFILE_SCHEMA = "owner_id string, ts bigint, added int, updated int, deleted int, refused int, rewrote int, history int, n_items int, summary string"
 
 
 def profiles(batches: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Vector similarity: every query of a relation against every vector of another, in blocks, best ``k`` each.
 
-Both sides are gathered into blocks inside their own tasks; each pair of blocks is one matrix product and yields ``k`` rows a
-query, so neither the pairs of rows nor one side as a whole exist anywhere. The best of all blocks are taken by rank.
+Both sides are gathered into blocks inside their own tasks. Blocks meet on a grid: the corpus is dealt to as many parts as
+there are shuffle partitions, the queries to parts of at most ``PART_BLOCKS`` blocks, and each part of one side meets each
+of the other in a task of its own. A pair of blocks is one matrix product and yields ``k`` rows a query, so neither the pairs
+of rows nor one side as a whole exist anywhere. The best of all blocks are taken by rank.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "l1")
+#: Query blocks that a task may hold at once.
+PART_BLOCKS = 16
 _BLOCK = "dim int, block string, ids binary, vectors binary"
 
 
@@ -68,9 +72,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
         df = df.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("v") > 0))
         return df.filter(norm(F.col("v")) > 0) if metric == "cosine" else df
 
-    asked = _blocks(usable(queries), rows).select("dim", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    met = _blocks(usable(corpus), rows).join(asked, "dim").select("ids", "vectors", "qids", "qvectors", "block", "qblock")
-    met = met.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "qblock")
+    deal = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qparts = max(1, -(-queries.count() // (rows * PART_BLOCKS)))
+    asked = _blocks(usable(queries), rows).select("dim", deal("block", qparts).alias("qpart"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")).withColumn("part", every(parts))
+    met = _blocks(usable(corpus), rows).select("dim", deal("block", parts).alias("part"), "ids", "vectors").withColumn("qpart", every(qparts))
+    met = met.join(asked, ["dim", "part", "qpart"]).select("ids", "vectors", "qids", "qvectors")
 
     def run(batches):
         for batch in batches:
@@ -78,6 +86,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                 ids, data, qids, qdata = (batch.column(j)[i].as_py() for j in range(4))
                 ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
                 c, q = (np.frombuffer(x, np.float64).reshape(n, -1) for x, n in ((data, len(ids)), (qdata, len(qids))))
+                found = []
                 for at in range(0, len(qids), 256):
                     score = np.round(_scores(q[at : at + 256], c, metric), digits)
                     score[qids[at : at + 256, None] == ids[None, :]] = -np.inf
@@ -85,7 +94,9 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                         kth = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
                         near = np.flatnonzero((row >= kth) & (row > -np.inf))
                         best = near[np.lexsort((ids[near], -row[near]))][:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(ids[best]), pa.array(row[best])], names=["query_id", "id", "score"])
+                        found.append((np.full(len(best), query), ids[best], row[best]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "id", "score"])
 
     found = met.mapInArrow(run, "query_id bigint, id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

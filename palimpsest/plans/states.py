@@ -45,7 +45,8 @@ def profile_input(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("owner_id"), F.col("event_id").alias("arrival"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type", F.col("event_id").alias("i"))
     late = F.when(F.col("i") % 9 == 0, F.col("ms") - 90 * 86_400_000).otherwise(F.col("ms"))
     action = F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("add"), F.lit("delete"), F.lit("update")), (F.col("i") % 5 + 1).cast("int"))
-    op = F.struct(action.alias("action"), (F.col("i") % 4).cast("int").alias("index"), F.concat(F.col("event_type"), F.lit(" "), (F.col("i") % 13).cast("string")).alias("description"), F.concat(F.lit("seen at "), F.col("i").cast("string")).alias("grounding"))
+    kind = F.when(F.col("i") % 11 == 0, "implicit_traits").otherwise("explicit_info")
+    op = F.struct(action.alias("action"), kind.alias("type"), (F.col("i") % 4).cast("int").alias("index"), F.concat(F.col("event_type"), F.lit(" "), (F.col("i") % 13).cast("string")).alias("description"), F.col("event_type").alias("label"), F.concat(F.lit("seen at "), F.col("i").cast("string")).alias("grounding"))
     return e.select("owner_id", "arrival", late.alias("ts"), F.array(op).alias("ops"))
 
 

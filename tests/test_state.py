@@ -54,7 +54,21 @@ def test_profile_late_evidence():
     ]
     now, out = run(state.profile_step, rows)
     assert [(o["added"], o["updated"], o["deleted"], o["refused"], o["n_items"]) for o in out] == [(2, 0, 0, 0, 1), (0, 0, 0, 1, 1), (0, 0, 0, 1, 1), (0, 1, 0, 0, 1), (1, 0, 1, 1, 1)]
-    assert now["items"][0]["description"] == "Likes milk" and now["ts"] == 200
+    assert now["items"]["explicit_info"][0]["description"] == "Likes milk" and now["ts"] == 200
+
+
+def test_profile_buckets():
+    op = lambda a, kind="explicit_info", i=None, d=None, label=None, g=None: {"action": a, "type": kind, "index": i, "description": d, "label": label, "grounding": g}
+    first = {"owner_id": "u", "ts": 100, "ops": [op("add", d="Likes tea.", label="Food"), op("add", d="Likes rice", label=" food "), op("add", "implicit_traits", d="Calm"), op("forget", None, d="x"), op("none"), op("sing"), op("add", d=" "), op("add", d="card 4111 1111 1111 1111")]}
+    now, out = run(state.profile_step, [first])
+    assert [i["label"] for i in now["items"]["explicit_info"]] == ["Food", " food "] and not now["items"]["implicit_traits"]
+    assert (out[0]["added"], out[0]["refused"]) == (2, 4)
+    now, out = run(state.profile_step, [first, {"owner_id": "u", "ts": 120, "ops": [op("add", d="Likes bread", label="FOOD", g="id 110105194912310021"), op("update", i=0, d="likes TEA.", g="q")]}, {"owner_id": "u", "ts": 50, "ops": [op("update", i=0, d="Likes tea (coffee before 2019)"), op("update", i=1, d="Likes rice, no more")]}])
+    assert [i["label"] for i in now["items"]["explicit_info"]] == ["Food", " food ", "Food"] and now["items"]["explicit_info"][2]["grounding"] == "id ***"
+    assert [(o["updated"], o["refused"], o["rewrote"], o["history"]) for o in out[1:]] == [(1, 0, 0, 0), (1, 1, 0, 1)]
+    assert now["items"]["explicit_info"][0]["observed_at"] == 100
+    _, out = run(lambda s, r: state.profile_step(s, r, new_traits=True), [first])
+    assert out[0]["added"] == 3
 
 
 def test_pending_and_matters():
