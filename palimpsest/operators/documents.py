@@ -61,6 +61,11 @@ def flatten(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", "topic_index", F.size("path").cast("bigint").alias("depth"), F.coalesce("parent_index", F.lit(-1).cast("bigint")).alias("parent_index"), F.coalesce("n_children", F.lit(0).cast("bigint")).alias("n_children"), "path", "refs")
 
 
+def within_depth(nodes: DataFrame, depth: int = 5) -> DataFrame:
+    """Nodes whose path is of ``depth`` places at most; deeper ones go with all below them."""
+    return nodes.filter(F.size("path") <= depth)
+
+
 def own_refs(flat: DataFrame) -> DataFrame:
     """doc_id, topic_index, ref: a node's references less those that a descendant has. A reference stays where the path is longest."""
     held = flat.select("doc_id", "topic_index", "path", F.explode("refs").alias("ref"))

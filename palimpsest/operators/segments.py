@@ -88,6 +88,30 @@ def force_cuts(items: DataFrame, message_limit: int = MESSAGES, token_limit: int
     return items.select("conv_id", "pos", "n_tokens").groupBy("conv_id").applyInPandas(run, "conv_id bigint, cut bigint")
 
 
+def batch_cuts(items: DataFrame, replies: DataFrame, limit: int = MESSAGES, final: bool = False) -> DataFrame:
+    """conv_id, cut (over chat messages): cuts forced by the number of messages, then a model's cuts inside what is left.
+
+    replies: conv_id, cut, counted from the first message that no forced cut closed; only cuts inside the rest count.
+    ``final`` closes the tail as well.
+    """
+    from palimpsest.session import plain_union
+
+    sizes = chat_view(items).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    forced = force_cuts_by_count(sizes, limit)
+    rest = sizes.join(forced.groupBy("conv_id").agg(F.max("cut").alias("start")), "conv_id", "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    named = replies.select("conv_id", F.col("cut").alias("_c")).join(rest, "conv_id").filter((F.col("_c") >= 1) & (F.col("_c") < F.col("n") - F.col("start")))
+    kept = [forced.select("conv_id", "cut"), named.select("conv_id", (F.col("start") + F.col("_c")).alias("cut"))]
+    if final:
+        kept.append(sizes.select("conv_id", F.col("n").alias("cut")))
+    return plain_union(*[k.select("conv_id", F.col("cut").cast("bigint").alias("cut")) for k in kept]).distinct()
+
+
+def step_errors(items: DataFrame) -> DataFrame:
+    """conv_id, pos, rule of what the step path can't judge: items that are no chat messages, and text without a time."""
+    rule = F.when(F.col("kind") != "text", "not a chat message").when((F.coalesce("content", F.lit("")) != "") & (F.coalesce("ts", F.lit(0)) == 0), "no timestamp")
+    return items.select("conv_id", "pos", rule.alias("rule")).filter("rule is not null")
+
+
 def tool_groups(items: DataFrame) -> DataFrame:
     """conv_id, start_pos, end_pos, n_results: each tool call with the results right after it."""
     new = (F.col("kind") != "tool_result") | (F.lag("kind").over(_by()).isin("text") | F.lag("kind").over(_by()).isNull())

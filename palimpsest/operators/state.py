@@ -100,13 +100,14 @@ def cluster_step(state: dict, row: dict, threshold: float = 0.65, days: float =
         k = int(np.argmax(scores))
         best, score = near[k], float(scores[k])
     if best is None or score < threshold:
-        clusters.append({"centroid": v.tolist(), "count": 1, "last_ts": t, "members": [int(row["id"])]})
+        clusters.append({"centroid": v.tolist(), "count": 1, "last_ts": t, "members": [int(row["id"])], "preview": [int(row["id"])]})
         best, score = len(clusters) - 1, None
     else:
         c = clusters[best]
         c["centroid"] = ((np.asarray(c["centroid"]) * c["count"] + v) / (c["count"] + 1)).tolist()
         c["count"], c["last_ts"] = c["count"] + 1, max(c["last_ts"], t)
         c["members"].append(int(row["id"]))
+        c["preview"] = [*c["preview"], int(row["id"])][-5:]
     return state, [{"key": row["key"], "id": row["id"], "cluster_id": f"cluster_{best}", "similarity": None if score is None else round(score, 6)}]
 
 

@@ -17,11 +17,15 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, path: str, sessions: list[int] | None = None) -> DataFrame:
+    return messages_of(entries(spark, path), sessions)
+
+
+def messages_of(entries_: DataFrame, sessions: list[int] | None = None) -> DataFrame:
     """conv_id, session, pos, sender_id, sender_name, content, ts; sessions in the order of their numbers.
 
     A conversation whose sessions are all filtered out has no rows here but stays in ``entries``.
     """
-    pairs = entries(spark, path).select("conv_id", F.explode("conversation").alias("k", "v"))
+    pairs = entries_.select("conv_id", F.explode("conversation").alias("k", "v"))
     number = F.regexp_extract("k", r"^session_([0-9]+)$", 1)
     held = pairs.filter(number != "").select("conv_id", number.cast("int").alias("session"), F.from_json("v", _SESSION).alias("m"))
     clock = F.regexp_extract("k", r"^session_([0-9]+)_date_time$", 1)
@@ -37,6 +41,10 @@ def messages(spark: SparkSession, path: str, sessions: list[int] | None = None)
 
 
 def questions(spark: SparkSession, path: str, drop: tuple[int, ...] = (5,)) -> DataFrame:
+    return questions_of(entries(spark, path), drop)
+
+
+def questions_of(entries_: DataFrame, drop: tuple[int, ...] = (5,)) -> DataFrame:
     """conv_id, question_id, question, answer, category; the id keeps a question's place, dropped categories included."""
-    qa = entries(spark, path).select("conv_id", F.posexplode(F.from_json("qa", "array<struct<question:string,answer:string,category:int>>")).alias("i", "q"))
+    qa = entries_.select("conv_id", F.posexplode(F.from_json("qa", "array<struct<question:string,answer:string,category:int>>")).alias("i", "q"))
     return qa.filter(~F.col("q.category").isin(*drop)).select("conv_id", F.concat_ws("_q", F.col("conv_id").cast("string"), F.col("i").cast("string")).alias("question_id"), F.col("q.question").alias("question"), F.col("q.answer").alias("answer"), F.col("q.category").alias("category"))

@@ -13,6 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a run can be started on: names and the functions that give their items (conv_id, pos, kind, role, content, ts, sender_id).
+DATASETS: dict = {}
+
+
+def dataset(name: str):
+    """Register a function ``(spark, sf_dir) -> items`` under a name."""
+
+    def put(f):
+        if name in DATASETS:
+            raise ValueError(f"dataset {name} is registered already")
+        DATASETS[name] = f
+        return f
+
+    return put
+
+
+@dataset("conversations")
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as items: turns 2 and 3 of every five stand for a tool call and its result; the rest are chat."""
     kind = F.when(F.col("turn") % 5 == 2, "tool_call").when(F.col("turn") % 5 == 3, "tool_result").otherwise("text")
