@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import FragmentEncoder, byte_alphabet, encoder
-from palimpsest.llm.runtime import bounded, chunks, text_bytes
+from palimpsest.llm.runtime import ENCODER_BYTES, bounded, chunks, text_bytes
 
 
 class ByteDecoder:
@@ -50,7 +50,7 @@ def encode_ids(df: DataFrame, path: str, id_column: str = "doc_id", text: str =
 
     def run(batches):
         source = encoder(path, kind)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODER_BYTES):
             ids, before = source.encode(*text_bytes(batch.column(1)))
             data = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays(
@@ -82,7 +82,7 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         source, back = encoder(path, "byte"), decoder(path)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODER_BYTES):
             ids, before = source.encode(*text_bytes(batch.column(1)))
             data, at = back.decode(ids)
             wide = ids.astype("<u4")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import encoder
-from palimpsest.llm.runtime import chunks, materialize, text_bytes
+from palimpsest.llm.runtime import ENCODER_BYTES, chunks, materialize, text_bytes
 from palimpsest.session import plain_union
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -43,7 +43,7 @@ def pieces(df: DataFrame, path: str, end_id: int, size: int, with_ids: bool = Fa
 
     def run(batches):
         source = encoder(path, "word")
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODER_BYTES):
             ids, before = source.encode(*text_bytes(batch.column(1)))
             wide = ids.astype("<u4")
             end = np.array([end_id], "<u4")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tasks cut the text they handle at once into pieces of about this size, so that memory does not follow the Arrow batch.
 CHUNK_BYTES = 2 << 20
+#: Encoders look each distinct fragment of a chunk up once, so theirs are larger.
+ENCODER_BYTES = 4 << 20
 #: Spark hands texts to Python in batches of about this size, whatever their number of rows.
 BATCH_BYTES = 8 << 20
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import FragmentEncoder, encoder
-from palimpsest.llm.runtime import bounded, chunks, text_bytes
+from palimpsest.llm.runtime import ENCODER_BYTES, bounded, chunks, text_bytes
 from palimpsest.llm.textops import SPACE
 
 #: Bytes of text that a leaf is made with at least; leaves end at the next safe place.
@@ -199,7 +199,7 @@ def build_trees(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         source = encoder(path, "byte")
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODER_BYTES):
             trees = _grown(batch, 1, source)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.n_tokens for t in trees], pa.int64()), pa.array([t.to_bytes() for t in trees], pa.binary())], names=["doc_id", "n_tokens", "tree"])
 
@@ -226,7 +226,7 @@ def edited_counts(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         source = encoder(path, "byte")
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODER_BYTES):
             trees = _grown(batch, 1, source)
             before = [t.n_tokens for t in trees]
             done = _apply(trees, batch.column(2).to_pylist(), source)

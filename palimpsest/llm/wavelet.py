@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.fragments import encoder
-from palimpsest.llm.runtime import chunks, materialize, read_file, scratch_dir, shuffle_partitions, text_bytes, write_file
+from palimpsest.llm.runtime import ENCODER_BYTES, chunks, materialize, read_file, scratch_dir, shuffle_partitions, text_bytes, write_file
 
 MAGIC = b"PWAVELT1"
 BLOCK_BYTES = 4096
@@ -207,7 +207,7 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shard_token
             held, docs, counts, size, seq = [], [], [], 0, seq + 1
             return row
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODER_BYTES):
             ids, before = source.encode(*text_bytes(batch.column(1)))
             ids = np.insert(ids, before[1:], np.array(end_id, ids.dtype))
             lengths = np.diff(before) + 1
