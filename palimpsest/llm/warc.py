@@ -105,7 +105,9 @@ def _decided(pages: DataFrame, least_bytes: int) -> DataFrame:
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html").cast("bigint"))
     first = own.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1").select("digest", "first")
-    joined = own.join(first, "digest", "left")
+    # small payloads never meet another, so they are dealt by page and not all empty ones to one task
+    key = F.when(F.col("size") >= least_bytes, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    joined = own.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -154,7 +156,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                     if head["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
                         raise ValueError(f"{path}: the payload of {head['WARC-Record-ID']} does not match its digest")
                     refers = head.get("WARC-Refers-To")
-                    rows.append((int(head["X-Page-ID"]) if "X-Page-ID" in head else None, head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None, payload))
+                    rows.append((int(head["X-Page-ID"]) if "X-Page-ID" in head else None, head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None, payload if with_payload else None))
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
