@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text, time
+from palimpsest.functions import stems, text, time
 from palimpsest.operators import bm25, documents, extraction, facade, model, segments
 from palimpsest.plans.agent import _FUSE, _good
 from palimpsest.plans.records import _TREE, _tree
@@ -87,6 +87,22 @@ def search_units(spark, sf_dir):
     return d.select("doc_id", F.size(units).alias("n"), F.md5(F.array_join(units, "|")).alias("digest"))
 
 
+def kept_words(spark, sf_dir):
+    """The words of each document that are searched for, before stemming."""
+    w = stems.words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).alias("n"), F.md5(F.array_join(w, " ")).alias("digest"))
+
+
+def stemmed_terms(spark, sf_dir):
+    return stems.terms(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+def okapi_scores(spark, sf_dir):
+    """Words as they are, so that SQL can follow."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bm25.okapi(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), stem=False)
+
+
 def rank_case(spark, sf_dir):
     dense, sparse = _both(spark, sf_dir)
     return facade.rank("case", "vector_anchored", dense, sparse, top_k=10)
@@ -200,12 +216,19 @@ def typed_values(spark, sf_dir):
     return e.select("event_id", shown.alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (session_messages, session_questions, normal_labels, rendered_prompts, display_widths, folded_text, bigram_overlaps, quotes_found, capped_summaries, search_units, rank_case, rank_episode, refined_round, reranked_hits, batch_scores, extracted_foresights, summarised_cells, gated_cases, assigned_clusters, boundary_replies, batch_boundaries, step_errors, missing_entities, cluster_members, ordered_times, limited_topics, typed_values)}
+QUERIES = {f.__name__: f for f in (session_messages, session_questions, normal_labels, rendered_prompts, display_widths, folded_text, bigram_overlaps, quotes_found, capped_summaries, search_units, kept_words, stemmed_terms, okapi_scores, rank_case, rank_episode, refined_round, reranked_hits, batch_scores, extracted_foresights, summarised_cells, gated_cases, assigned_clusters, boundary_replies, batch_boundaries, step_errors, missing_entities, cluster_members, ordered_times, limited_topics, typed_values)}
 
 _WIDE = " OR ".join(f"c BETWEEN {a} AND {b}" for a, b in ((0x1100, 0x115F), (0x2E80, 0x303E), (0x3041, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF01, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1F64F), (0x1F900, 0x1F9FF), (0x20000, 0x3FFFD)))
 _SESSIONS = "c AS (SELECT *, turn // 4 + 1 AS s FROM conversations), n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, s) AS m, row_number() OVER (PARTITION BY conv_id, s ORDER BY turn) - 1 AS i, epoch_ms(make_timestamp((2000 + s // 28)::BIGINT, 5, (s % 28 + 1)::BIGINT, 13, 0, 0.0)) AS start FROM c)"
 _ANCHORED = "k AS (SELECT *, CASE WHEN score > 0 THEN score / (score + 5.0::DOUBLE) ELSE 0 END AS kk FROM sparse), b AS (SELECT coalesce(d.query_id, k.query_id) AS query_id, coalesce(d.id, k.id) AS id, d.score AS v, kk, d.ord AS dd, k.ord AS so FROM dense d FULL JOIN k ON d.query_id = k.query_id AND d.id = k.id), f AS (SELECT query_id, id, round(0.7::DOUBLE * coalesce(v, min(v) OVER w, 0) + (1 - 0.7::DOUBLE) * coalesce(kk, min(kk) OVER w, 0), 6) AS score, CASE WHEN dd IS NOT NULL THEN dd ELSE 1000 + so END AS first FROM b WINDOW w AS (PARTITION BY query_id))"
 
+_KEPT = (
+    r"WITH p_{table} AS (SELECT {id} AS id, string_split_regex(lower(coalesce(text, '')), '[\s,;:@#$%&?!()\[\]{{}}<>\"“”`]+|--+|\.\.+') AS p FROM {table}), "
+    r"w_{table} AS (SELECT id, list_filter(list_transform(p, lambda x: regexp_replace(regexp_replace(x, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g'), '(n''t|''[a-z]{{1,2}})$', '')), lambda x: regexp_matches(x, '^\p{{L}}{{2,}}$') AND x NOT IN ("
+    + ", ".join(f"'{x}'" for x in stems.STOP_WORDS)
+    + ")) AS w FROM p_{table})"
+)
+
 ORACLE_SQL = {
     "session_messages": f"WITH {_SESSIONS} SELECT conv_id, (s * 5)::INT AS session, (row_number() OVER (PARTITION BY conv_id ORDER BY s, turn) - 1)::INT AS pos, lower(role) || '_' || conv_id AS sender_id, upper(role) AS sender_name, CASE WHEN turn % 3 = 0 THEN '[Image: a cat] ' || coalesce(text, '') ELSE text END AS content, start + CASE WHEN m > 1 THEN i * 30000 ELSE 0 END AS ts FROM n",
     "session_questions": "SELECT DISTINCT conv_id, conv_id || '_q' || i AS question_id, 'q' || i AS question, 'a' AS answer, (i + 1)::INT AS category FROM conversations, (SELECT unnest([0, 1, 2, 3, 5]) AS i)",
@@ -217,6 +240,8 @@ ORACLE_SQL = {
     "quotes_found": "SELECT event_id, event_id % 5 < 3 AS found FROM events",
     "capped_summaries": "SELECT event_id, CASE WHEN event_id % 200 + 1 <= 100 THEN repeat('ab. ', (event_id % 200 + 1)::INT) ELSE repeat('ab. ', 99) || 'ab…' END AS summary FROM events",
     "search_units": "WITH u AS (SELECT doc_id, list_filter([trim(lang), coalesce(source, ''), substr(coalesce(text, ''), 1, 200)], lambda x: x <> '') AS u FROM documents) SELECT doc_id, len(u)::INT AS n, md5(array_to_string(u, '|')) AS digest FROM u",
+    "kept_words": _KEPT.format(table="documents", id="doc_id") + " SELECT id AS doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS digest FROM w_documents",
+    "okapi_scores": _KEPT.format(table="documents", id="doc_id") + ", " + _KEPT.format(table="benchmark", id="item_id").removeprefix("WITH ") + ", t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w_documents) GROUP BY ALL), per AS (SELECT id, sum(tf) AS dl FROM t GROUP BY ALL), z AS (SELECT count(*) AS n, sum(dl) AS total FROM per), d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM t, z GROUP BY term, n), m AS (SELECT sum(round(raw * 1e9)::BIGINT) / 1e9 / count(*) AS mean FROM d), q AS (SELECT id AS query_id, term, count(*) AS qtf FROM (SELECT id, unnest(w) AS term FROM w_benchmark) GROUP BY ALL), s AS (SELECT query_id, t.id, qtf * CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl * n / total)) AS s FROM q JOIN d USING (term) JOIN t USING (term) JOIN per ON per.id = t.id, z, m) SELECT query_id, id, round(sum(round(s * 1e9)::BIGINT) / 1e9, 6) AS score FROM s GROUP BY ALL",
     "rank_case": f"WITH {PAIRS_SQL}, {_ANCHORED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first)::INT AS rank, id, score FROM f QUALIFY rank <= 10",
     "rank_episode": f"WITH {PAIRS_SQL}, f AS ({_FUSE.format(k=60, routes='SELECT query_id, id, ord, 0 AS r FROM dense UNION ALL SELECT query_id, id, ord, 1 FROM sparse')}), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first)::INT AS rank, id, score FROM f WHERE query_id % 100 <> 0) SELECT * FROM r WHERE rank <= 10 UNION ALL SELECT query_id, ord, id, score FROM dense WHERE query_id % 100 = 0 AND ord <= 10",
     "refined_round": f"WITH {PAIRS_SQL}, verdict AS (SELECT query_id, score >= 0.9 AS ok FROM dense WHERE ord = 1), one AS (SELECT * FROM dense WHERE ord <= 12), m AS (SELECT query_id, id, 1 AS r, ord FROM one UNION ALL SELECT query_id, id, 2, ord FROM sparse x WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.query_id = x.query_id AND one.id = x.id)), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, ord) AS n FROM m QUALIFY n <= 25), g AS (SELECT c.query_id, c.id, row_number() OVER (PARTITION BY c.query_id ORDER BY t.score DESC NULLS LAST, n)::INT AS rank FROM c JOIN verdict v ON v.query_id = c.query_id AND NOT ok LEFT JOIN third t ON t.query_id = c.query_id AND t.id = c.id) SELECT query_id, rank, id, 2 AS rounds FROM g WHERE rank <= 8 UNION ALL SELECT query_id, ord, id, 1 FROM dense JOIN verdict USING (query_id) WHERE ok AND ord <= 8",

@@ -156,3 +156,22 @@ def test_a_message_without_time_is_an_error(spark):
     with pytest.raises(PySparkException):
         df.select(regular.output_language(df["kind"])).collect()
     assert shown.QUERIES
+
+
+@pytest.mark.parametrize(
+    ("words", "want"),
+    [
+        ("caresses ponies ties caress cats dies", "caress poni tie caress cat die"),
+        ("feed agreed plastered bled motoring sing died", "feed agre plaster bled motor sing die"),
+        ("conflated troubled sized hopping tanned falling hissing fizzed failing filing", "conflat troubl size hop tan fall hiss fizz fail file"),
+        ("happy sky enjoy by", "happi sky enjoy by"),
+        ("relational conditional rational valenci digitizer radically differently analogousli vietnamization operator feudalism decisiveness hopefulness callousness formality sensitivity sensibility", "relat condit ration valenc digit radic differ analog vietnam oper feudal decis hope callous formal sensit sensibl"),
+        ("triplicate formative formalize electricity electrical hopeful goodness", "triplic form formal electr electr hope good"),
+        ("revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption communism activate angularity homologous effective bowdlerize", "reviv allow infer airlin gyroscop adjust defens irrit replac adjust depend adopt commun activ angular homolog effect bowdler"),
+        ("probate rate cease controll roll", "probat rate ceas control roll"),
+    ],
+)
+def test_stems(words, want):
+    from palimpsest.functions import stems
+
+    assert " ".join(map(stems.stem, words.split())) == want
