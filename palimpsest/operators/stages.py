@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import stems
 from palimpsest.operators import retrieve
 from palimpsest.session import plain_union
 
@@ -65,6 +66,21 @@ def embedding_units(episodes: DataFrame, facts: DataFrame) -> DataFrame:
     return plain_union(f, one("subject_vec", "subject"), one("episode_vec", "episode")).withColumn("searched", F.col("kind") != "episode")
 
 
+def index(units: DataFrame, vectors: DataFrame, clusters: DataFrame, stem: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, vectors, clusters) of all conversations at once, as a search reads them.
+
+    units: conv_id, ep_id, n, text (searchable texts of an episode); vectors: conv_id, ep_id, kind, n, vec (``embedding_units``);
+    clusters: conv_id, cluster_id, members. Postings are counted by unit, so that an episode can score by its best one;
+    units without a word have none, vectors that are not searched are left out, as are members that are no episode.
+    """
+    keyed = units.select(F.struct("conv_id", "ep_id", "n").alias("unit"), "text")
+    postings = stems.terms(keyed, "unit", stem).select("unit.conv_id", "unit.ep_id", "unit.n", "term", "tf")
+    searched = vectors.filter(F.col("kind") != "episode").select("conv_id", "ep_id", "n", "vec")
+    known = units.select("conv_id", "ep_id").distinct()
+    members = clusters.select("conv_id", "cluster_id", F.explode("members").alias("ep_id")).join(known, ["conv_id", "ep_id"], "left_semi")
+    return postings, searched, members
+
+
 def cluster_rows(assigned: DataFrame, vectors: DataFrame) -> DataFrame:
     """cluster_id, count, last_ts, members, preview: clusters as they are searched; members by arrival, the last five as preview.
 

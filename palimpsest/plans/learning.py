@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, tokens
+from palimpsest.functions.stems import STOP_WORDS
 from palimpsest.operators import agent, documents, knowledge, scoring, segments, stages
 from palimpsest.plans.records import _ACC, _ATOMS, _RUNS, _TREE, _runs, _tree
 from palimpsest.plans.retrieval import _MASS, PAIRS_SQL, _labelled, route
@@ -289,6 +290,18 @@ def answer_contexts(spark, sf_dir):
     return rendering.answer_context(members, episodes, speakers, top=10)
 
 
+def index_stage(spark, sf_dir):
+    """Messages as searchable texts, vectors of a label as those of a conversation, ten clusters of each: rows by table.
+
+    Words stay unstemmed, so that SQL can follow.
+    """
+    units = items(spark, sf_dir).filter("kind = 'text'").select("conv_id", F.floor(F.col("pos") / 2).alias("ep_id"), F.col("pos").alias("n"), F.col("content").alias("text"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("conv_id"), (F.col("vec_id") % 50).alias("ep_id"), F.when(F.col("vec_id") % 5 == 0, "episode").otherwise("fact").alias("kind"), F.col("vec_id").alias("n"), F.col("embedding").alias("vec"))
+    clusters = e.groupBy("conv_id", (F.col("ep_id") % 10).alias("cluster_id")).agg(F.collect_set("ep_id").alias("members"))
+    parts = zip(("postings", "vectors", "members"), stages.index(units, e, clusters, stem=False), strict=True)
+    return plain_union(*[t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select("conv_id", F.lit(name).alias("part"), "n") for name, t in parts])
+
+
 def scored_answers(spark, sf_dir):
     d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("place"), (F.col("doc_id") % 5 + 1).alias("category"))
     return stages.scored_answers(d, ["5"], limit=40)
@@ -309,7 +322,7 @@ def report_lines(spark, sf_dir):
     return stages.report(scoring.accuracy(runs), scoring.accuracy(runs, 6, "category"), ran)
 
 
-QUERIES = {f.__name__: f for f in (history_tokens, cell_tokens, tool_sizes, compress_picks, trimmed_items, case_verdicts, skill_outcomes, skill_support, profile_gates, profile_updates, oversized_atoms, marked_blocks, consolidated_batches, merge_listing, merges_due, merged_groups, passes_due, replaced_topics, assignment_list, document_roots, conversation_order, human_senders, owner_episodes, owner_errors, facts_by_episode, episodes_without_facts, embedding_units, cluster_rows, remapped_clusters, category_retrieval, search_results, search_errors, answer_contexts, scored_answers, response_scores, report_lines)}
+QUERIES = {f.__name__: f for f in (history_tokens, cell_tokens, tool_sizes, compress_picks, trimmed_items, case_verdicts, skill_outcomes, skill_support, profile_gates, profile_updates, oversized_atoms, marked_blocks, consolidated_batches, merge_listing, merges_due, merged_groups, passes_due, replaced_topics, assignment_list, document_roots, conversation_order, human_senders, owner_episodes, owner_errors, facts_by_episode, episodes_without_facts, embedding_units, cluster_rows, remapped_clusters, category_retrieval, search_results, search_errors, answer_contexts, index_stage, scored_answers, response_scores, report_lines)}
 
 _GROUPS = f"{ITEMS_SQL}, k AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY pos) AS b FROM items), g AS (SELECT *, sum((kind <> 'tool_result' OR b = 'text' OR b IS NULL)::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS g FROM k), sizes AS (SELECT conv_id, min(pos) AS start_pos, max(pos) + 1 AS end_pos, sum(length(content))::BIGINT AS size FROM g GROUP BY conv_id, g HAVING min_by(kind, pos) = 'tool_call')"
 _LONG = "array_to_string(list_transform(range(6), lambda n: 'step ' || n || ' of the way to do it'), chr(10))"
@@ -350,6 +363,11 @@ ORACLE_SQL = {
     "search_results": f"WITH {PAIRS_SQL}, r AS (SELECT query_id AS question_id, ord, id, round_even(score, 4) AS score FROM dense WHERE ord <= 10 AND query_id % 200 <> 0), m AS (SELECT question_id, string_agg(id::VARCHAR, ',' ORDER BY ord) AS members FROM r GROUP BY ALL) SELECT r.question_id, 'conv_' || label AS conv_id, members, id, score FROM r JOIN m ON m.question_id = r.question_id JOIN embeddings ON vec_id = r.question_id",
     "search_errors": "SELECT vec_id AS question_id, 'retrieval: no result' AS rule FROM embeddings WHERE vec_id % 200 = 0",
     "answer_contexts": f"WITH {PAIRS_SQL}, e AS (SELECT query_id, string_agg(CASE WHEN id % 2 = 0 THEN 's' || id ELSE 'N/A' END || ': body ' || id || chr(10) || '---', chr(10) || chr(10) ORDER BY ord) AS episodes FROM dense WHERE ord <= 10 AND id % 3 <> 0 GROUP BY ALL) SELECT q.query_id AS question_id, CASE WHEN q.query_id % 4 < 3 THEN 'a' || q.query_id % 4 ELSE 'A' END AS speaker_a, CASE WHEN q.query_id % 4 < 3 THEN 'b' ELSE 'B' END AS speaker_b, coalesce(episodes, '') AS episodes FROM (SELECT DISTINCT query_id FROM dense) q LEFT JOIN e ON e.query_id = q.query_id",
+    "index_stage": (
+        r"WITH u AS (SELECT conv_id, turn AS n, string_split_regex(lower(coalesce(text, '')), '[\s,;:@#$%&?!()\[\]{}<>\"“”`]+|--+|\.\.+') AS p FROM conversations WHERE turn % 5 NOT IN (2, 3)), w AS (SELECT conv_id, n, unnest(list_filter(list_transform(p, lambda x: regexp_replace(regexp_replace(x, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g'), '(n''t|''[a-z]{1,2})$', '')), lambda x: regexp_matches(x, '^\p{L}{2,}$') AND x NOT IN ("
+        + ", ".join(f"'{x}'" for x in STOP_WORDS)
+        + r"))) AS t FROM u), known AS (SELECT DISTINCT conv_id, turn // 2 AS ep FROM conversations WHERE turn % 5 NOT IN (2, 3)), e AS (SELECT label::BIGINT AS conv_id, vec_id % 50 AS ep, vec_id FROM embeddings) SELECT conv_id, 'postings' AS part, count(*) AS n FROM (SELECT DISTINCT conv_id, n, t FROM w) GROUP BY ALL UNION ALL SELECT conv_id, 'vectors', count(*) FROM e WHERE vec_id % 5 <> 0 GROUP BY ALL UNION ALL SELECT e.conv_id, 'members', count(DISTINCT e.ep) FROM e JOIN known k ON k.conv_id = e.conv_id AND k.ep = e.ep GROUP BY ALL"
+    ),
     "scored_answers": "SELECT question_id, place, category FROM (SELECT doc_id AS question_id, doc_id AS place, doc_id % 5 + 1 AS category, row_number() OVER (ORDER BY doc_id) AS n FROM labels WHERE doc_id % 5 + 1 <> 5) WHERE n <= 40",
     "response_scores": "WITH r AS (SELECT doc_id AS i, doc_id % 4 + 1 AS n, CASE WHEN doc_id % 3 = 0 THEN [(doc_id % 9)::DOUBLE, 0.5] WHEN doc_id % 3 = 1 THEN [0.25, (doc_id % 7)::DOUBLE, 1.0] ELSE []::DOUBLE[] END AS s FROM labels) SELECT i AS request_id, unnest(range(n))::INT AS i, unnest(list_transform(range(1, n + 1), lambda k: coalesce(s[k], 0.0))) AS score FROM r",
     "report_lines": f"WITH {_RUNS}, whole AS (WITH {_ACC.format(keys='').replace('runs', 'r0').replace('n_r0', 'n_runs')}), each_ AS (WITH {_ACC.format(keys='category,').replace('runs', 'r0').replace('n_r0', 'n_runs')}) SELECT 'overall' AS section, 0::BIGINT AS place, {_SHARE} AS line FROM whole UNION ALL SELECT 'category', category, 'category ' || category || ': ' || {_SHARE} FROM each_ UNION ALL SELECT 'stage', 1, 'answer: 10 rows' UNION ALL SELECT 'stage', 2, 'search: 20 rows'".replace(" r0 ", " runs "),
