@@ -4,6 +4,7 @@ import hashlib
 import math
 import operator
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -173,6 +174,33 @@ def test_toxicity_on_held_out(spark, machine):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_against_the_sum_over_pairs(spark, machine):
+    """Scores recomputed plainly: distinct terms of a text by regular expressions, and every pair of them."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, machine).collect()}
+    place = {int(p): k for k, p in enumerate(machine.places)}
+    seen = {}
+
+    def hashed(run):
+        if run not in seen:
+            raw = np.frombuffer(run, np.uint8)
+            seen[run] = set(toxicity.terms(raw, np.array([0, len(raw)]))[0].tolist())
+        return seen[run]
+
+    pairs = 0
+    for r in docs:
+        runs = set(re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())))
+        own = sorted({place[t] for run in runs for t in hashed(run) if t in place})
+        value = machine.bias + sum(machine.weights[i] for i in own)
+        for k, i in enumerate(own):
+            for j in own[:k]:
+                value += float(machine.factors[i] @ machine.factors[j])
+                pairs += 1
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-40, min(40, value))))) < 1e-9
+    assert pairs > 100
+
+
 def test_toxicity_odd_rows(spark, machine):
     rows = [(1, None), (None, ""), (1, "you idiot " * 50), (4, "plain words")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit("x")).withColumn("lang", F.lit("en"))
