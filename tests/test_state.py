@@ -105,6 +105,32 @@ def test_stream_equals_batch(spark, tmp_path, name, stream):
     assert got == sorted(map(str, batch(rows).collect()))
 
 
+def test_stream_compacts_and_runs_a_batch_again(spark, tmp_path, monkeypatch):
+    """Only changed states are written; old tables go; a batch that ran without being committed runs again alike."""
+    import os
+    import shutil
+
+    monkeypatch.setattr(stateful, "GENERATIONS", 2)
+    rows = states.skill_input(spark, SF)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    for k in range(5):
+        rows.filter(f"seq % 5 = {k} and key % 3 <> {k % 3}").withColumn("seq", F.col("seq") + 10_000 * k).coalesce(1).write.mode("append").parquet(source)
+        stateful.skills(spark.readStream.schema(rows.schema).parquet(source), folder)
+    kept = sorted(os.listdir(f"{folder}/states"))
+    assert len(kept) <= 4 and any(n.startswith("whole") for n in kept)
+    want = sorted(map(str, state.skills(spark.read.schema(rows.schema).parquet(source)).collect()))
+    assert sorted(map(str, stateful.outputs(spark, folder).drop("batch").collect())) == want
+    changed = {r.key for r in spark.read.parquet(f"{folder}/states/changed-4").collect()}
+    assert changed and all(k % 3 != 1 for k in changed)
+    os.remove(f"{folder}/progress/commits/4")
+    shutil.rmtree(f"{folder}/out/batch=4")
+    for junk in os.listdir(f"{folder}/progress/commits"):
+        if junk.startswith(".4"):
+            os.remove(f"{folder}/progress/commits/{junk}")
+    stateful.skills(spark.readStream.schema(rows.schema).parquet(source), folder)
+    assert sorted(map(str, stateful.outputs(spark, folder).drop("batch").collect())) == want
+
+
 def test_replies_are_strict():
     fields = {"a": "bool", "b": "list"}
     assert model.check_reply('{"a": true, "b": []}', fields)[0]
