@@ -24,22 +24,34 @@ Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
 def fold_groups(df: DataFrame, key: str, order: list[str], step: Step, schema: str, finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
-    """Run ``step`` over each key's rows in order; outputs are rows of ``schema``. A key is one task's work, by nature."""
+    """Run ``step`` over each key's rows in order; outputs are rows of ``schema``.
+
+    A key is one task's work, by nature, but its rows come in batches: only its state is held, not its history.
+    """
     kinds = dict(f.split() for f in schema.split(", "))
-    names = list(kinds)
-
-    def run(frame):
-        state, out = {}, []
-        for row in frame.sort_values(order, kind="stable").to_dict("records"):
-            state, rows = step(state, row)
-            out += rows
-        if finish is not None:
-            out += finish(state)
+
+    def framed(out: list[dict]) -> pd.DataFrame:
         if not out:
             return pd.DataFrame({n: pd.Series([], dtype=EMPTY[k]) for n, k in kinds.items()})
-        return pd.DataFrame({n: [r[n] for r in out] for n in names}, columns=names)
-
-    return df.groupBy(key).applyInPandas(lambda frame: run(frame), schema)
+        return pd.DataFrame({n: [r[n] for r in out] for n in kinds}, columns=list(kinds))
+
+    def run(frames):
+        open_, state = False, {}
+        for frame in frames:
+            out: list[dict] = []
+            for row in frame.to_dict("records"):
+                own = None if pd.isna(row[key]) else row[key]
+                if open_ and own != now:
+                    out += finish(state) if finish is not None else []
+                    state = {}
+                open_, now = True, own
+                state, rows = step(state, row)
+                out += rows
+            yield framed(out)
+        if open_ and finish is not None:
+            yield framed(finish(state))
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 # Boundaries: one message at a time.

@@ -183,7 +183,7 @@ _EPS = f"{ITEMS_SQL}, eps AS (SELECT conv_id, pos AS ep_id, ts, '  ' || content
 _ITEMS = """pi AS (SELECT coalesce(source, '') AS owner_id, CASE WHEN toxic = 1 THEN 'implicit_traits' ELSE 'explicit_info' END AS bucket, doc_id, coalesce(lang, '') AS lang FROM labels JOIN documents USING (doc_id)),
 pit AS (SELECT owner_id, bucket, doc_id, row_number() OVER (PARTITION BY owner_id, bucket ORDER BY doc_id) - 1 AS pos, 'fact ' || doc_id AS description, CASE WHEN doc_id % 4 <> 0 THEN ' ' || lang END AS label, CASE WHEN doc_id % 3 <> 0 THEN 1700000000000 + doc_id * 60000 END AS observed_at FROM pi)"""
 _SHOWN = "'{\"description\":\"' || description || '\"' || CASE WHEN label IS NULL THEN '' ELSE ',\"label\":\"' || label || '\"' END || CASE WHEN observed_at IS NULL THEN '' ELSE ',\"observed_at\":\"' || " + _AT.format(ts="observed_at") + " || '\"' END || '}'"
-_MATTERS = "mt AS (SELECT user_id::VARCHAR AS owner_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type || '</b> ' || event_id % 5 AS topic, event_type, CASE WHEN event_id % 4 <> 0 THEN epoch_ms(ts) END AS observed_at FROM events)"
+_MATTERS = "mt AS (SELECT user_id::VARCHAR AS owner_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type || '</b> ' || event_id % 5 AS topic, event_type, CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) // 1000 END AS observed_at FROM events)"
 _PENDING = f"{_MATTERS}, pe AS (SELECT owner_id, pos, event_id, topic AS description, CASE WHEN event_id % 2 = 0 THEN 'habit' ELSE '' END AS category, coalesce(observed_at, 1700000000000) AS observed_at FROM mt)"
 _HITS = f"{PAIRS_SQL}, hits AS (SELECT query_id, ord AS rank, id, CASE WHEN id % 5 <> 0 THEN 's' || id END AS subject, CASE WHEN id % 11 = 0 THEN ' ' ELSE repeat(' text of ' || id, (id % 80)::INT) END AS content, CASE WHEN id % 2 = 1 THEN 1700000000000 + id * 60000 END AS ts FROM dense WHERE ord <= 20)"
 

@@ -54,9 +54,12 @@ def profile_merge_replay(spark, sf_dir):
     return state.profiles(profile_input(spark, sf_dir))
 
 
+def pending_input(spark, sf_dir):
+    return items(spark, sf_dir).select(F.col("conv_id").cast("string").alias("owner_id"), "ts", F.col("pos").alias("seq"), F.col("content").alias("text"))
+
+
 def pending_replay(spark, sf_dir):
-    i = items(spark, sf_dir)
-    return state.pending(i.select(F.col("conv_id").cast("string").alias("owner_id"), "ts", F.col("pos").alias("seq"), F.col("content").alias("text")))
+    return state.pending(pending_input(spark, sf_dir))
 
 
 def matter_replay(spark, sf_dir):
@@ -135,6 +138,7 @@ ORACLE_SQL = {
   SELECT doc_id AS key, atom_id AS pos, own AS held, 0::BIGINT AS batch FROM a WHERE atom_id = 0
   UNION ALL SELECT r.key, a.atom_id, CASE WHEN held > 0 AND held + own > 2000 THEN own ELSE held + own END, CASE WHEN held > 0 AND held + own > 2000 THEN batch + 1 ELSE batch END FROM r JOIN a ON a.doc_id = r.key AND a.atom_id = r.pos + 1
 ) SELECT key, pos, batch FROM r""",
+    "matter_replay": "WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ts, event_id, event_type, event_id % 3 = 0 AS out_ FROM events), p AS (SELECT *, coalesce(NOT lag(out_) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), false) AS active FROM e), a AS (SELECT *, CASE WHEN out_ AND active THEN 'withdrawn' WHEN out_ THEN 'ignored' WHEN active THEN 'refreshed' ELSE 'entered' END AS action FROM p) SELECT user_id::VARCHAR AS owner_id, ts, action, sum(CASE action WHEN 'entered' THEN 1 WHEN 'withdrawn' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n_topics FROM a",
     "model_replay": """SELECT item_id, item_id % 3 = 1 AS ok, CASE item_id % 3 WHEN 0 THEN 'reply: not JSON' WHEN 1 THEN '' ELSE 'label: not a known word' END AS error, CASE WHEN item_id % 3 = 1 THEN CASE WHEN length(text) % 2 = 0 THEN 'CORRECT' ELSE 'WRONG' END END AS label FROM benchmark""",
     "model_usage": "WITH s AS (SELECT count(*) AS calls, sum(16 + length(coalesce(text, '')))::BIGINT AS p FROM benchmark) SELECT 'judge' AS operator, calls, p AS prompt_tokens, 3 * calls AS completion_tokens, round((p * 0.4::DOUBLE + 3 * calls * 1.6::DOUBLE) / 1e6, 6) AS cost FROM s",
 }

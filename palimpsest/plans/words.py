@@ -256,7 +256,7 @@ ORACLE_SQL = {
     "step_errors": f"WITH {ITEMS_SQL} SELECT conv_id, pos, CASE WHEN kind <> 'text' THEN 'not a chat message' ELSE 'no timestamp' END AS rule FROM items WHERE kind <> 'text' OR (pos % 6 = 0 AND coalesce(content, '') <> '')",
     "missing_entities": "SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 <> 0",
     "cluster_members": "SELECT 'cluster_' || label AS cluster_id, label::BIGINT AS cluster_ord, vec_id AS id FROM embeddings WHERE vec_id % 4 <> 0",
-    "ordered_times": "WITH l AS (SELECT user_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, coalesce(min(d), 0) >= 0 AS ordered, true AS sorted FROM l GROUP BY user_id",
+    "ordered_times": "WITH l AS (SELECT user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events) SELECT user_id, coalesce(min(d), 0) >= 0 AS ordered, true AS sorted FROM l GROUP BY user_id",
     "limited_topics": f"WITH {_TREE}, l AS (SELECT doc_id, path, len(path) AS depth, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS i FROM flat WHERE len(path) <= 2) SELECT l.doc_id, l.i AS topic_index, l.depth, coalesce(p.i, -1) AS parent_index, (SELECT count(*) FROM l k WHERE k.doc_id = l.doc_id AND k.depth = l.depth + 1 AND k.path[:l.depth] = l.path) AS n_children FROM l LEFT JOIN l p ON p.doc_id = l.doc_id AND p.depth = l.depth - 1 AND l.path[:p.depth] = p.path",
     "typed_values": "SELECT event_id, '{\"id\":' || event_id || ',\"at\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '\",\"user\":\"' || user_id || '\"}' AS value FROM events",
 }
