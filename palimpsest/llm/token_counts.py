@@ -4,7 +4,8 @@ A document is kept as a tree over leaves. A leaf is a run of pre-tokens with its
 where a character that is not white space stands before ASCII white space, a place that is a pre-token boundary whatever
 stands around it. Inner nodes hold the sums of characters and tokens below them. An edit replaces characters start..end:
 the tree leads to the leaves it touches, a neighbour is added where the edit reaches a leaf's edge (boundary context), only
-their text is encoded again, and sums change on the paths from these leaves to the root alone.
+their text is encoded again, and sums change on the paths from these leaves to the root alone. Only where an edit brings
+so much text that its leaves would grow too large are there more leaves: the sums are then added up anew, over old counts.
 
 Contract for odd input: a null text counts as empty; edits are clipped to the text as it is when they come; an edit whose
 start lies after its end is an insertion at start; a null replacement is empty, and an edit without place is skipped; null

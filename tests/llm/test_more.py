@@ -133,6 +133,23 @@ def test_packing(spark, monkeypatch):
     assert all(r.n_tokens * 4 == len(r.ids) for r in whole.collect())
 
 
+def test_very_long_texts(spark, machine):
+    """A text far larger than a chunk: cut into pieces that fill sequences, archived whole, and scored by all its terms."""
+    rnd = random.Random(2)
+    long = " ".join(rnd.choice(["word", "other", "tokens", "x"]) for _ in range(700_000))
+    texts = [(1, long), (2, "short one"), (3, long[:100_000])]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    used, bound = packed_is_right(packing.packed_documents(df, WORD).collect(), texts, 4096)
+    assert used == bound
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "short")], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert [got[i].payload_bytes for i in (1, 2, 3)] == [len(long), len(long), 5] and got[2].refers_to == 1
+    assert got[1].payload_digest == hashlib.sha256(long.encode()).hexdigest()
+    at_end = spark.createDataFrame([(1, long + " you idiot"), (2, "word other tokens x you idiot")], "doc_id bigint, text string")
+    scores = [r.score for r in toxicity.score(at_end, machine).orderBy("doc_id").collect()]
+    assert abs(scores[0] - scores[1]) < 1e-12 and scores[0] > 0.3
+
+
 def test_gaps_choose_the_exchange(spark, monkeypatch):
     """Parts without a gap stay whole, parts with one give up full bins too; open bins of certified parts come last."""
     monkeypatch.setattr(packing, "PART_PIECES", 40)

@@ -73,3 +73,19 @@ def test_token_files(spark):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert wavelet.digest_shards(wavelet.token_files(documents(spark, []), BYTE)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts far larger than a chunk, with and without cuts, are encoded whole and fill shards of their own."""
+    rnd = random.Random(8)
+    long = " ".join(rnd.choice(["alpha", "beta", "it's", "12,5", "é", "\n"]) for _ in range(900_000))
+    texts = ["short", long, "x" * 60_000, "end"]
+    library = Tokenizer.from_file(BYTE)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    got = {r.doc_id: r for r in wavelet.digest_shards(wavelet.token_files(documents(spark, texts), BYTE, end_id=2)).collect()}
+    start = 0
+    for i, ids in enumerate(want):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    trip = {r.doc_id: r for r in bpe.round_trip(documents(spark, texts), BYTE).collect()}
+    assert all(trip[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and trip[i].n_tokens == len(want[i]) - 1 for i, t in enumerate(texts))
