@@ -134,9 +134,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", admit:
     def distinct_terms(batches):
         for batch in chunks(batches, "text"):
             found, text = terms(*text_bytes(batch.column(1)))
-            pair = np.unique(np.stack([text, found]), axis=1)
-            own = pa.array(pair[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(pair[1])], names=["doc_id", "y", "term"])
+            pair = np.unique(text.astype(np.int64) << 32 | found)  # terms have 32 bits
+            own = pa.array(pair >> 32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(pair & 0xFFFFFFFF)], names=["doc_id", "y", "term"])
 
     found = known.select("doc_id", "text", "y").mapInArrow(distinct_terms, "doc_id bigint, y int, term bigint")
     size = known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
