@@ -2,7 +2,8 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never end up inside one token, so the text may be
 cut there. Fragments between cuts repeat a lot: each distinct fragment is encoded once by the tokenizers library, kept
-in a memo bounded by count and by bytes, and the ids of a text are those of its fragments in a row.
+in a memo bounded by count and by bytes, and the ids of a text are those of its fragments in a row. A full memo keeps the
+half that was used last.
 
 For the cut to be certain the pre-tokenizer must also give the same pieces on both sides. A pair is therefore refused
  * if its left byte may end white space (the rule for trailing white space looks ahead),
@@ -42,7 +43,7 @@ class FragmentEncoder:
     between an ASCII letter and ASCII punctuation.
     """
 
-    def __init__(self, path: str, kind: str = "byte", memo: int = 400_000, memo_bytes: int = 64 << 20):
+    def __init__(self, path: str, kind: str = "byte", memo: int = 500_000, memo_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,8 +56,8 @@ class FragmentEncoder:
 
     def _clear(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.held = 0
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.held = self.calls = 0
+        self.starts, self.counts, self.seen = (np.zeros(1024, np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32), 0
 
     def _byte_table(self) -> np.ndarray:
@@ -123,7 +124,8 @@ class FragmentEncoder:
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             texts = [x.decode() for x in part]
-            special = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+            whole = "\x00".join(texts)
+            special = any(a in whole for a in self.added)
             encoding = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(encoding.ids, self.pool.dtype)
             words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
@@ -141,6 +143,7 @@ class FragmentEncoder:
         while k + len(part) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.starts[k : k + len(part)] = self.used + np.cumsum(counts) - counts
@@ -150,6 +153,19 @@ class FragmentEncoder:
         self.memo.update(zip(part, range(k, k + len(part)), strict=True))
         self.held += sum(map(len, part))
 
+    def _keep_recent(self) -> None:
+        """Forget all but the fragments used last: half of the limits at most."""
+        keys = list(self.memo)  # in the order of their places
+        recent = np.argsort(-self.seen[: len(keys)], kind="stable")[: self.limit // 2]
+        sizes = np.cumsum(np.fromiter((len(keys[i]) for i in recent.tolist()), np.int64, len(recent)))
+        kept = np.sort(recent[: int(np.searchsorted(sizes, self.most // 2, "right"))])
+        starts, counts, seen, calls = self.starts[kept], self.counts[kept], self.seen[kept], self.calls
+        take = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        ids = self.pool[take]
+        self._clear()
+        self._store([keys[i] for i in kept.tolist()], ids, counts)
+        self.seen[: len(kept)], self.calls = seen, calls
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids before each text) for texts given as UTF-8 bytes and offsets."""
         array, before = self.fragments(raw, offsets)
@@ -157,15 +173,18 @@ class FragmentEncoder:
             return np.zeros(0, self.pool.dtype), np.zeros(len(offsets), np.int64)
         coded = pc.dictionary_encode(array)
         distinct = coded.dictionary.to_pylist()
-        if self.held > self.most or (len(self.memo) + len(distinct) > self.limit and len(self.memo) > self.limit // 2):
-            self._clear()  # what one call brings is bounded by its chunk of texts
+        if self.held > self.most or len(self.memo) > self.limit:
+            self._keep_recent()  # what one call brings is bounded by its chunk of texts
         get = self.memo.get
         known = [get(x, -1) for x in distinct]
         new = [x for x, k in zip(distinct, known, strict=True) if k < 0]
         if new:
             self._learn(new)
             known = [k if k >= 0 else self.memo[x] for x, k in zip(distinct, known, strict=True)]
-        place = np.array(known, np.int64)[np.asarray(coded.indices)]
+        places = np.array(known, np.int64)
+        self.calls += 1
+        self.seen[places] = self.calls
+        place = places[np.asarray(coded.indices)]
         counts = self.counts[place]
         ends = np.cumsum(counts)
         total = int(ends[-1])
