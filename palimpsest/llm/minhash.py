@@ -45,6 +45,8 @@ from palimpsest.session import plain_union
 
 #: Classes, and extras, on either side of a block, on average.
 BLOCK_CLASSES, BLOCK_EXTRAS = 1024, 1 << 20
+#: Pairs that are counted at once.
+TILE = 1 << 19
 #: Keys (of about 2.4 bytes each) that a filter read by every task may hold.
 FILTER_KEYS = 20_000_000
 #: Shingles hashed at once; 128 passes over this many stay in a core's cache.
@@ -246,35 +248,48 @@ def _open_rows(measured: DataFrame, roots: DataFrame, test: _Test) -> DataFrame:
 
 
 def block_pairs(outer: pd.DataFrame, every: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in outer, in every) of the pairs of one hub and different components that could link, by the extras they have in common."""
-    na, nb, ia, ib = (f[c].to_numpy(np.int64) for c in ("n", "inter") for f in (outer, every))
-    owner, holder = (np.repeat(np.arange(len(f)), [len(x) for x in f["extras"]]) for f in (outer, every))
-    mine, theirs = (np.concatenate([np.asarray(x, np.int64) for x in f["extras"]] or [np.zeros(0, np.int64)]) for f in (outer, every))
-    ha, hb = (f["hub"].to_numpy(np.int64) for f in (outer, every))
-    mine, theirs = (mix(x.view(np.uint64) + mix(h[o].view(np.uint64))) for x, h, o in ((mine, ha, owner), (theirs, hb, holder)))
+    """Places (in outer, in every) of the pairs of one hub and different components that could link, by the extras they have in common.
+
+    Pairs are counted in tiles of ``TILE`` at most, so memory follows the rows, not the pairs.
+    """
+    def columns(f: pd.DataFrame) -> tuple:
+        extras = np.concatenate([np.asarray(x, np.int64) for x in f["extras"]] or [np.zeros(0, np.int64)])
+        ends = np.cumsum([0, *map(len, f["extras"])])
+        hub, n, inter, comp = (f[c].to_numpy(np.int64) for c in ("hub", "n", "inter", "comp"))
+        owner = np.repeat(np.arange(len(f)), np.diff(ends))
+        return hub, n, inter, comp, mix(extras.view(np.uint64) + mix(hub[owner].view(np.uint64))), owner, ends
+
+    ha, na, ia, ca, mine, owner, ends = columns(outer)
+    hb, nb, ib, cb, theirs, holder, _ = columns(every)
     order = np.argsort(theirs, kind="stable")
     theirs, holder = theirs[order], holder[order]
-    low, high = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
-    many = high - low
-    common = np.zeros(len(na) * len(nb), np.int32)
+    found = []
+    step = max(1, TILE // max(1, len(nb)))
+    for x in range(0, len(na), step):
+        y = min(x + step, len(na))
+        own = slice(int(ends[x]), int(ends[y]))
+        low, high = np.searchsorted(theirs, mine[own], "left"), np.searchsorted(theirs, mine[own], "right")
+        common = _common(owner[own] - x, low, high - low, holder, y - x, len(nb))
+        bound = common + np.minimum(ia[x:y, None], ib)
+        apart = (ca[x:y, None] != cb) & (ha[x:y, None] == hb)
+        sized = 100 * np.minimum(na[x:y, None], nb) >= percent * np.maximum(na[x:y, None], nb)
+        i, j = np.nonzero(apart & sized & ((100 + percent) * bound >= percent * (na[x:y, None] + nb)))
+        found.append((i + x, j))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _common(owner: np.ndarray, low: np.ndarray, many: np.ndarray, holder: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """[rows, columns] extras in common: each extra of a row meets ``many`` postings in ``holder`` from ``low`` on."""
+    out = np.zeros(rows * columns, np.int32)
     ends = np.cumsum(many)
     at = 0
-    while at < len(mine):  # so many postings at once that memory stays bounded
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
-        reach = np.repeat(low[at:to] - np.cumsum(many[at:to]) + many[at:to], many[at:to]) + np.arange(int(many[at:to].sum()))
-        places = np.repeat(owner[at:to] * len(nb), many[at:to]) + holder[reach]
-        common += np.bincount(places, minlength=len(common)).astype(np.int32) if len(places) * 4 > len(common) else _added(places, len(common))
+    while at < len(owner):  # as many postings at once as there are pairs in a tile
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TILE, "right")))
+        own = many[at:to]
+        reach = np.repeat(low[at:to] - np.cumsum(own) + own, own) + np.arange(int(own.sum()))
+        np.add.at(out, np.repeat(owner[at:to] * columns, own) + holder[reach], 1)
         at = to
-    bound = common.reshape(len(na), len(nb)) + np.minimum(ia[:, None], ib)
-    apart = (outer["comp"].to_numpy()[:, None] != every["comp"].to_numpy()) & (ha[:, None] == hb)
-    sized = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
-    return np.nonzero(apart & sized & ((100 + percent) * bound >= percent * (na[:, None] + nb)))
-
-
-def _added(places: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size, np.int32)
-    np.add.at(out, places, 1)
-    return out
+    return out.reshape(rows, columns)
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:

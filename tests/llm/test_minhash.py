@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from palimpsest.llm import components, minhash
 
@@ -112,8 +113,10 @@ def test_links_of_one_common_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_block_pairs_lose_no_link():
+@pytest.mark.parametrize("tile", [1 << 19, 100])
+def test_block_pairs_lose_no_link(monkeypatch, tile):
     """All pairs of different components that link stay; what leaves can't link by its count of common shingles."""
+    monkeypatch.setattr(minhash, "TILE", tile)
     rng = np.random.default_rng(5)
     hub = set(range(60))
     sets = [(hub - set(rng.choice(60, rng.integers(0, 16), False).tolist())) | {int(x) for x in rng.integers(100, 130, rng.integers(0, 16))} for _ in range(90)]
