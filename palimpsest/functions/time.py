@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
 
+#: Microseconds that stand for DuckDB's ``infinity`` and ``-infinity`` in files.
+INFINITE = (2**63 - 1, 1 - 2**63)
+
+
+def nearest_ms(ts: Column) -> Column:
+    """Epoch milliseconds nearest to a timestamp, halves away from 0, as DuckDB's ``epoch_ms`` (``unix_millis`` rounds down); null for infinities."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    finite = F.when(~us.isin(*INFINITE), us)
+    return F.unix_millis(F.timestamp_micros(finite + F.when(us < 0, 499).otherwise(500)))
+
 
 def instant(ms: Column, offset_minutes: int = 0, weekday: bool = False) -> Column:
     """``YYYY-MM-DD HH:MM ZONE``, seconds cut off, in a fixed offset from UTC; null for 0 or null."""
